@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -79,14 +80,16 @@ def text_column(batch, name: str = "text") -> list[bytes]:
 class WordIds:
     """Token ids of whole texts by a tokenizer that drops white space, through caches of words.
 
-    As white space never joins tokens, a text's ids are its words' ids put together; each distinct word goes through the
-    ``tokenizers`` library once while it stays cached. ``STEM`` splits the commonest shapes (letters, then at most one
-    full stop or comma: two pre-tokens) so that a stem is encoded once for all of them. Both caches are emptied when
-    they reach their limit, which bounds a worker's memory.
+    As white space never joins tokens, a text's ids are its words' ids put together. A few MB of text at a time are
+    split and dictionary-encoded by Arrow, so Python sees each distinct word of them once, and each word goes through
+    the ``tokenizers`` library once while it stays cached. Letters with symbols after them are two pre-tokens, so
+    their ids are those of the letters, in any case of A-Z, and of the symbols. The caches are emptied when they reach
+    their limits, which bounds a worker's memory.
     """
 
-    STEM = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
-    WORDS, STEMS, JOINED = 500_000, 600_000, 1000
+    LETTERS = re.compile("[a-zÀ-ÖØ-öø-ÿ]+")
+    SYMBOLS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+    WORDS, STEMS, JOINED, CHUNK = 1_000_000, 700_000, 1000, 8_000_000
 
     def __init__(self, path: str):
         import os
@@ -96,74 +99,102 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[bytes, bytes] = {}
-        self.stems: dict[str, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
 
-    def _raw(self, text: str):
-        return self.tokenizer.encode(text, add_special_tokens=False)
-
-    @staticmethod
-    def _pack(ids) -> bytes:
+    def _encode(self, word: bytes) -> bytes:
         from array import array
 
-        return array("I", ids).tobytes()
+        return array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+
+    def _learn_stems(self, stems: list[bytes]) -> None:
+        import numpy as np
 
-    def _learn_stems(self, stems: list[str]) -> None:
         for i in range(0, len(stems), self.JOINED):
             some = stems[i : i + self.JOINED]
-            e = self._raw(" ".join(some))
-            ids, at = e.ids, e.word_ids
-            if at and at[-1] == len(some) - 1 and None not in at:
-                parts: list[list[int]] = [[] for _ in some]
-                for t, k in zip(ids, at):
-                    parts[k].append(t)
-                self.stems.update(zip(some, map(self._pack, parts)))
+            e = self.tokenizer.encode(b" ".join(some).decode(), add_special_tokens=False)
+            at = e.word_ids
+            if at and None not in at and at[-1] == len(some) - 1:
+                ids = np.array(e.ids, "<u4").tobytes()
+                ends = (4 * np.cumsum(np.bincount(at, minlength=len(some)))).tolist()
+                self.stems.update(zip(some, map(ids.__getitem__, map(slice, [0, *ends[:-1]], ends))))
             else:
-                self.stems.update((s, self._pack(self._raw(s).ids)) for s in some)
+                self.stems.update((s, self._encode(s)) for s in some)
 
-    def _learn(self, missing) -> None:
+    def _lookup(self, words: list[bytes]) -> list[bytes]:
+        got = list(map(self.words.get, words))
+        missing = [i for i, x in enumerate(got) if x is None]
+        if not missing:
+            return got
         if len(self.words) + len(missing) > self.WORDS:
             self.words.clear()
         if len(self.stems) > self.STEMS:
             self.stems.clear()
-        shaped, stems = [], set()
-        for w in missing:
-            s = w.decode("utf-8", "replace")
-            m = self.STEM.fullmatch(s)
-            if m:
-                stem = m[1].lower()
-                shaped.append((w, stem, m[2]))
-                stems.add(stem)
-            else:
-                self.words[w] = self._pack(self._raw(s).ids)
-        stems.update(".,")
-        self._learn_stems([s for s in stems if s not in self.stems and s not in ".,"])
-        for p in ".,":
-            if p not in self.stems:
-                self.stems[p] = self._pack(self._raw(p).ids)
-        for w, stem, mark in shaped:
-            self.words[w] = self.stems[stem] + self.stems[mark] if mark else self.stems[stem]
-
-    def many(self, texts: list[bytes]):
-        """Little-endian unsigned 32-bit ids of each text, as bytes, in order. Texts are looked up a few MB at a time."""
+        collects = gc.isenabled()
+        gc.disable()  # nothing here is in a cycle, and looking for cycles in large caches takes longer than the work
+        try:
+            self._learn(words, missing, got)
+        finally:
+            if collects:
+                gc.enable()
+        return got
+
+    def _learn(self, words: list[bytes], missing: list[int], got: list) -> None:
+        later, new = [], {}
+        for i in missing:
+            w = words[i]
+            low = w.lower()
+            stem = low.rstrip(self.SYMBOLS)
+            mark = low[len(stem) :]
+            known = self.stems.get(stem)
+            if known is None and stem not in new:
+                if not self.LETTERS.fullmatch(stem.decode()):
+                    got[i] = self.words[w] = self._encode(w)
+                    continue
+                new[stem] = None
+            if mark and mark not in self.stems:
+                self.stems[mark] = self._encode(mark)
+            later.append((i, w, stem, mark))
+        self._learn_stems(list(new))
+        stems, own = self.stems, self.words
+        for i, w, stem, mark in later:
+            got[i] = own[w] = stems[stem] + stems[mark] if mark else stems[stem]
+
+    def many(self, texts):
+        """(ids, ends) of consecutive slices of an Arrow string column: ids (uint32) of the slice's texts one after the other, and where each text's end. Null: none."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = pc.fill_null(texts, "")
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype("i8"))
         at = 0
         while at < len(texts):
-            some, size = [], 0
-            while at < len(texts) and (not some or size + len(texts[at]) <= 4_000_000):
-                some.append(texts[at].split())
-                size += len(texts[at])
-                at += 1
-            missing: set[bytes] = set()
-            for w in some:
-                missing.update(w)
-            missing.difference_update(self.words)
-            if missing:
-                before = len(self.words)
-                self._learn(missing)
-                if len(self.words) < before:  # emptied: what these texts need is learned again
-                    self._learn({x for w in some for x in w} - self.words.keys())
-            get = self.words.__getitem__
-            for w in some:
-                yield b"".join(map(get, w))
+            upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + self.CHUNK, "right")))
+            split = pc.ascii_split_whitespace(texts.slice(at, upto - at))
+            coded = split.flatten().dictionary_encode()
+            distinct = coded.dictionary
+            parts = self._lookup(distinct.cast(pa.large_binary() if pa.types.is_large_string(distinct.type) else pa.binary()).to_pylist())
+            lens = np.fromiter(map(len, parts), "i8", len(parts)) // 4
+            flat, starts = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(lens) - lens
+            index = coded.indices.to_numpy(zero_copy_only=False)
+            n = lens[index]
+            ends = np.cumsum(n)
+            total = int(ends[-1]) if len(ends) else 0
+            ids = flat[np.repeat(starts[index] - (ends - n), n) + np.arange(total)]
+            words = split.offsets.to_numpy()[1:] - split.offsets[0].as_py()
+            yield ids, np.concatenate(([0], ends))[words]
+            at = upto
+
+    def documents(self, texts, end_id: int | None = None):
+        """The ids (uint32) of each text of the column, followed by ``end_id`` if there is one."""
+        import numpy as np
+
+        tail = np.array([] if end_id is None else [end_id], "<u4")
+        for ids, ends in self.many(texts):
+            at = 0
+            for e in ends.tolist():
+                yield np.concatenate((ids[at:e], tail))
+                at = e
 
 
 _loaded: dict[str, WordIds] = {}

@@ -7,7 +7,6 @@ other. What is left at the end of a range goes into sequences whose lengths are
 
 from __future__ import annotations
 
-import struct
 import zlib
 
 import numpy as np
@@ -85,13 +84,11 @@ def token_table(docs: DataFrame, vocabulary: str, end_id: int | None = END_ID, k
         import pyarrow as pa
 
         ids_of, directions = c.word_ids(vocabulary), projection()
-        end = b"" if end_id is None else struct.pack("<I", end_id)
         for batch in batches:
-            texts = c.text_column(batch, "__text")
-            for at in range(0, len(texts), 500):
-                ids = [np.frombuffer(x + end, "<u4") for x in ids_of.many(texts[at : at + 500])]
+            for at in range(0, batch.num_rows, 2000):
+                ids = list(ids_of.documents(batch.column("__text").slice(at, 2000), end_id))
                 keys = hilbert_keys(cells_of(vectors(ids, directions)))
-                part = batch.slice(at, 500)
+                part = batch.slice(at, 2000)
                 rest = [part.column(i) for i, n in enumerate(part.schema.names) if n != "__text"]
                 wide = any(len(x) and int(x.max()) >= 1 << 16 for x in ids)
                 data = [(b"\x04" + x.tobytes()) if wide else (b"\x02" + x.astype("<u2").tobytes()) for x in ids]

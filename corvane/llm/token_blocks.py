@@ -112,21 +112,19 @@ def write_token_blocks(docs: DataFrame, vocabulary: str, end_id: int | None = EN
         from pyspark import TaskContext
 
         part, ids_of = TaskContext.get().partitionId(), c.word_ids(vocabulary)
-        end = b"" if end_id is None else struct.pack("<I", end_id)
         names = [x.split()[0] for x in SEGMENTS.split(", ")]
         seg, before, docs_, lens, held, size = 0, 0, [], [], [], 0
 
         def row():
-            ids = np.frombuffer(b"".join(held), "<u4")
+            ids = np.concatenate(held)
             return pa.RecordBatch.from_arrays([pa.array([part], "int32"), pa.array([seg], "int32"), pa.array([before], "int64"), pa.array([len(ids)], "int64"), pa.array([docs_], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int64())), pa.array([encode_segment(ids)], pa.binary())], names)
 
         for batch in batches:
-            for doc, got in zip(batch.column("doc_id").to_pylist(), ids_of.many(c.text_column(batch))):
-                got += end
+            for doc, got in zip(batch.column("doc_id").to_pylist(), ids_of.documents(batch.column("text"), end_id)):
                 docs_.append(doc)
-                lens.append(len(got) // 4)
+                lens.append(len(got))
                 held.append(got)
-                size += len(got) // 4
+                size += len(got)
                 if size >= SEGMENT_IDS:
                     yield row()
                     seg, before, docs_, lens, held, size = seg + 1, before + size, [], [], [], 0

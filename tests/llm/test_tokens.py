@@ -32,12 +32,16 @@ def plain(tokenizer, text):
 
 
 def test_word_ids_equal_whole_text_encoding(tokenizer, monkeypatch):
+    import pyarrow as pa
+
     w = c.WordIds(c.public_vocabulary())
-    texts = [(t or "").encode() for _, t in TEXTS]
+    texts = pa.array([t for _, t in TEXTS])
+    want = [plain(tokenizer, t)[:-1] for _, t in TEXTS]
     for _ in range(2):
-        assert [np.frombuffer(x, "<u4").tolist() for x in w.many(texts)] == [plain(tokenizer, t)[:-1] for _, t in TEXTS]
+        assert [x.tolist() for x in w.documents(texts)] == want
     monkeypatch.setattr(c.WordIds, "WORDS", 3)  # emptied all the time
-    assert [np.frombuffer(x, "<u4").tolist() for x in w.many(texts)] == [plain(tokenizer, t)[:-1] for _, t in TEXTS]
+    monkeypatch.setattr(c.WordIds, "CHUNK", 30)
+    assert [x.tolist() for x in w.documents(texts.slice(1))] == want[1:]
 
 
 @settings(max_examples=40, deadline=None)
