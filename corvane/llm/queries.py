@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import curve_packing, jump_shards, rule_ledger, simhash_planes, token_blocks
+from . import cover_dedup, curve_packing, jump_shards, rule_ledger, simhash_planes, token_blocks
 
 QUERIES = {
     "op1_token_blocks": token_blocks.op1,
@@ -10,5 +10,6 @@ QUERIES = {
     "op3_jump_shards": jump_shards.op3,
     "op4_simhash_planes": simhash_planes.op4,
     "op6_curve_packing": curve_packing.op6,
+    "op10_cover_dedup": cover_dedup.op10,
 }
 ORACLE: dict[str, str] = {"op2_rule_ledger": rule_ledger.OP2_SQL}
