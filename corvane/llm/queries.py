@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cover_dedup, curve_packing, jump_shards, rule_ledger, simhash_planes, slot_mixing, token_blocks
+from . import cover_dedup, curve_packing, jump_shards, paragraph_sketch, rule_ledger, simhash_planes, slot_mixing, token_blocks
 
 QUERIES = {
     "op1_token_blocks": token_blocks.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_jump_shards": jump_shards.op3,
     "op4_simhash_planes": simhash_planes.op4,
     "op6_curve_packing": curve_packing.op6,
+    "op8_paragraph_sketch": paragraph_sketch.op8,
     "op9_slot_mixing": slot_mixing.op9,
     "op10_cover_dedup": cover_dedup.op10,
 }
