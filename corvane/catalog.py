@@ -4,7 +4,502 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import text as T
+from .functions import words as W
+from .operators import chunking, embedding, evaluation, fusion, guards, lexical, rerank
+from .plans import search as plans
+from .sources import loaders
+from .streaming import sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def corpus(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+def questions(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+
+
+def quoted(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+# SQL of the text functions
+def tok(t: str) -> str:
+    return f"regexp_extract_all(lower({t}), '[a-z0-9_]+(?:''[a-z]+)?')"
+
+
+def sql_stem(w: str) -> str:
+    arms = " ".join(f"WHEN ends_with({w}, '{s}') AND length({w}) - {len(s)} + {len(n)} >= 3 THEN left({w}, length({w}) - {len(s)}) || '{n}'" for s, n in W.SUFFIXES)
+    return f"list_transform([CASE WHEN length({w}) <= 3 THEN {w} {arms} ELSE {w} END], lambda z: CASE WHEN length(z) > 3 AND ends_with(z, 'e') THEN left(z, length(z) - 1) ELSE z END)[1]"
+
+
+def sql_stems(tokens: str) -> str:
+    return f"list_transform({tokens}, lambda w: {sql_stem('w')})"
+
+
+def sql_content(t: str, stop, shortest: int = 3) -> str:
+    return f"list_filter({tok(t)}, lambda w: NOT list_contains({quoted(stop)}, w) AND length(w) >= {shortest})"
+
+
+def sql_sentences(t: str) -> str:
+    lines = f"list_transform(string_split({t}, chr(10)), lambda b: regexp_replace(b, '^\\s+|\\s+$', '', 'g'))"
+    cut = f"list_transform({lines}, lambda b: string_split(regexp_replace(b, '([.!?])\\s+([\"''(\\[]?[A-Z0-9])', '\\1' || chr(31) || '\\2', 'g'), chr(31)))"
+    return f"list_filter(list_transform(flatten({cut}), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '')"
+
+
+def sql_jaccard(a: str, b: str) -> str:
+    return f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE len(list_intersect({a}, {b}))::DOUBLE / len(list_distinct(list_concat({a}, {b}))) END"
+
+
+def sql_contain(a: str, b: str) -> str:
+    return f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE len(list_intersect(list_distinct({a}), {b}))::DOUBLE / len(list_distinct({a})) END"
+
+
+BM25_SQL = f"""
+toks AS (SELECT doc_id AS id, {tok('text')} AS t FROM documents),
+stats AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM toks),
+post AS (SELECT id, len, term, count(*) AS tf FROM (SELECT id, len(t) AS len, unnest(t) AS term FROM toks) GROUP BY id, len, term),
+df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
+qt AS (SELECT item_id AS qid, unnest(list_distinct({tok('text')})) AS term FROM benchmark),
+scores AS (SELECT qid, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / mean))), 6) AS score
+           FROM qt JOIN post USING (term) JOIN df USING (term), stats GROUP BY qid, id),
+bm25 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM scores))"""
+
+
+@query(f"SELECT doc_id, len({tok('text')})::INT AS n_tokens, len(list_distinct({tok('text')}))::INT AS n_distinct FROM documents")
+def tokenize_counts(spark, sf):
+    t = T.tokenize(F.col("text"))
+    return corpus(spark, sf).select(F.col("id").alias("doc_id"), F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_distinct"))
+
+
+@query("SELECT doc_id, CASE WHEN text = '' THEN 0 ELSE greatest(1, round(len(regexp_extract_all(text, '[A-Za-z0-9_]+(?:''[A-Za-z]+)?')) * 1.32::DOUBLE))::INT END AS tokens FROM documents")
+def estimate_tokens(spark, sf):
+    return corpus(spark, sf).select(F.col("id").alias("doc_id"), T.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+@query(f"SELECT doc_id, len({sql_content('text', W.STOPWORDS)})::INT AS n_content FROM documents")
+def content_words(spark, sf):
+    return corpus(spark, sf).select(F.col("id").alias("doc_id"), F.size(T.content_words(F.col("text"))).alias("n_content"))
+
+
+@query(f"SELECT stem, count(*)::BIGINT AS n FROM (SELECT unnest({sql_stems(tok('text'))}) AS stem FROM documents) GROUP BY stem")
+def stem_frequencies(spark, sf):
+    counted = corpus(spark, sf).select(F.explode(T.tokenize(F.col("text"))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    return counted.groupBy(T.stem(F.col("w")).alias("stem")).agg(F.sum("n").alias("n"))
+
+
+@query(f"SELECT doc_id, len({sql_sentences('text')})::INT AS n_sentences, md5(array_to_string({sql_sentences('text')}, '|')) AS digest FROM documents")
+def sentence_split(spark, sf):
+    s = T.sentences(F.col("text"))
+    return corpus(spark, sf).select(F.col("id").alias("doc_id"), F.size(s).alias("n_sentences"), F.md5(F.array_join(s, "|")).alias("digest"))
+
+
+@query("SELECT doc_id, left(sha1(source || chr(31) || doc_id::VARCHAR || chr(31) || left(text, 64)), 16) AS stable_id FROM documents")
+def stable_ids(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.stable_id(F.col("source"), F.col("doc_id"), F.substring("text", 1, 64)).alias("stable_id"))
+
+
+@query(f"WITH b AS (SELECT item_id, list_distinct({tok('text')}) AS t FROM benchmark) SELECT a.item_id AS a, b.item_id AS b, round({sql_jaccard('a.t', 'b.t')}, 6) AS jaccard, round({sql_contain('a.t', 'b.t')}, 6) AS containment FROM b a, b b WHERE a.item_id < b.item_id")
+def set_overlaps(spark, sf):
+    b = table(spark, sf, "benchmark").select("item_id", F.array_distinct(T.tokenize(F.col("text"))).alias("t"))
+    x, y = b.select(F.col("item_id").alias("a"), F.col("t").alias("s")), b.select(F.col("item_id").alias("b"), "t")
+    return x.join(y, F.col("a") < F.col("b")).select("a", "b", F.round(T.jaccard(F.col("s"), F.col("t")), 6).alias("jaccard"), F.round(T.containment(F.col("s"), F.col("t")), 6).alias("containment"))
+
+
+_HTML = "regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->', ' ', 'gs'), '<script\\b[^>]*>.*?(</script\\s*>|\\z)', ' ', 'gis'), '<style\\b[^>]*>.*?(</style\\s*>|\\z)', ' ', 'gis')"
+
+
+@query(f"SELECT page_id, regexp_replace(regexp_extract({_HTML}, '<title\\b[^>]*>(.*?)</title\\s*>', 1, 'is'), '<[^>]+>', '', 'g') AS title FROM pages")
+def html_title(spark, sf):
+    return table(spark, sf, "pages").select("page_id", loaders.html_title(F.col("html")).alias("title"))
+
+
+@query(f"SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace({_HTML}, '<title\\b[^>]*>(.*?)</title\\s*>', ' ', 'is'), '</?(?:{loaders.BLOCKS})\\b[^>]*/?>', chr(10), 'gi'), '<[^>]+>', ' ', 'g')) AS digest FROM pages")
+def html_text(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.md5(loaders.html_text(F.col("html"))).alias("digest"))
+
+
+@query("SELECT source, lang, count(*)::BIGINT AS n, sum(len(regexp_extract_all(text, '[A-Za-z0-9_]+(?:''[A-Za-z]+)?')))::BIGINT AS words, min(doc_id) AS first FROM documents GROUP BY source, lang")
+def doc_summaries(spark, sf):
+    return table(spark, sf, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum(F.regexp_count("text", F.lit("[A-Za-z0-9_]+(?:'[A-Za-z]+)?"))).alias("words"), F.min("doc_id").alias("first"))
+
+
+@query(f"SELECT count(*)::BIGINT AS chunks, count(DISTINCT source)::BIGINT AS sources, round(avg(len({tok('text')})), 1) AS mean_tokens, max(len({tok('text')}))::INT AS max_tokens FROM documents")
+def index_stats(spark, sf):
+    n = F.size(T.tokenize(F.col("text")))
+    return table(spark, sf, "documents").agg(F.count("*").alias("chunks"), F.countDistinct("source").alias("sources"), F.round(F.avg(n), 1).alias("mean_tokens"), F.max(n).alias("max_tokens"))
+
+
+@query(f"SELECT term, doc_id AS id, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest({tok('text')}) AS term FROM documents) GROUP BY ALL")
+def postings(spark, sf):
+    return lexical.postings(corpus(spark, sf)).select("term", "id", "tf")
+
+
+@query(f"SELECT term, count(DISTINCT doc_id)::BIGINT AS df FROM (SELECT doc_id, unnest({tok('text')}) AS term FROM documents) GROUP BY term")
+def doc_freq(spark, sf):
+    return lexical.document_frequency(corpus(spark, sf))
+
+
+@query(f"WITH {BM25_SQL} SELECT qid, id, score, rank FROM bm25 WHERE rank <= 20")
+def bm25_batch(spark, sf):
+    return lexical.bm25(questions(spark, sf), corpus(spark, sf), 20).select("qid", "id", "score", "rank")
+
+
+@query(f"WITH {BM25_SQL.replace('FROM benchmark', 'FROM (SELECT 0 AS item_id, $$the license of this work and the terms$$ AS text)')} SELECT id, score FROM bm25 WHERE rank <= 10")
+def bm25_topk(spark, sf):
+    q = spark.createDataFrame([(0, "the license of this work and the terms")], "qid long, question string")
+    return lexical.bm25(q, corpus(spark, sf), 10).select("id", "score")
+
+
+@query(f"WITH {BM25_SQL} SELECT qid, id, score, rank FROM bm25 WHERE rank <= 20")
+def bm25_incremental_equals_batch(spark, sf):
+    """The index of one half of the documents with the other half upserted answers like the index of all."""
+    c = corpus(spark, sf).withColumn("seq", F.col("id"))
+    half = c.filter("id % 2 = 0")
+    grown = lexical.upsert(half, c.filter("id % 2 = 1").unionByName(half.filter("id % 10 = 0")), "id", "seq")
+    return lexical.bm25(questions(spark, sf), grown.select("id", "text"), 20).select("qid", "id", "score", "rank")
+
+
+_VEC = "e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT a.vec_id AS qid, b.vec_id AS id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a, e b WHERE a.vec_id < 20)"
+
+
+def _vectors(spark, sf):
+    v = table(spark, sf, "embeddings")
+    return v.filter("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector")), v.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("seq"), F.col("embedding").alias("vector"))
+
+
+@query(f"WITH {_VEC} SELECT * FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10")
+def cosine_batch(spark, sf):
+    return fusion.cosine(*_vectors(spark, sf), 10).select("qid", "id", "score", "rank")
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x / greatest(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]), 1e-24))), 6) AS norm FROM embeddings")
+def unit_vectors(spark, sf):
+    u = T.unit(F.col("embedding"))
+    return table(spark, sf, "embeddings").withColumn("u", u).select("vec_id", F.round(T.dot(F.col("u"), F.col("u")), 6).alias("norm"))
+
+
+_TWO = f"""WITH {BM25_SQL}, other AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY id DESC) AS rank, id::DOUBLE AS score FROM scores),
+hits AS (SELECT qid, 'a' AS list, 0.6 AS weight, id, rank, score FROM bm25 WHERE rank <= 24 UNION ALL SELECT qid, 'b', 0.4, id, rank, score FROM other WHERE rank <= 24)"""
+
+
+def _two_lists(spark, sf):
+    scores = lexical.bm25_scores(questions(spark, sf), corpus(spark, sf))
+    a = lexical.top(scores, 24, "id").select("qid", F.lit("a").alias("list"), F.lit(0.6).alias("weight"), "id", "rank", "score")
+    b = lexical.top(scores.withColumn("score", F.col("id").cast("double")), 24, "id").select("qid", F.lit("b").alias("list"), F.lit(0.4).alias("weight"), "id", "rank", "score")
+    return a.unionByName(b)
+
+
+@query(_TWO + " SELECT qid, id, round(sum(weight / (60 + rank)), 9)::DOUBLE AS score FROM hits GROUP BY qid, id")
+def rrf_fusion(spark, sf):
+    return fusion.rrf(_two_lists(spark, sf)).select("qid", "id", "score")
+
+
+@query(_TWO + """, m AS (SELECT *, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 0 END AS s FROM hits WINDOW w AS (PARTITION BY qid, list))
+SELECT qid, id, round(sum(weight * s), 6)::DOUBLE AS score FROM m GROUP BY qid, id""")
+def weighted_fusion(spark, sf):
+    return fusion.weighted(_two_lists(spark, sf)).select("qid", "id", "score")
+
+
+@query(_TWO + " SELECT qid, list, id, row_number() OVER (PARTITION BY qid, list ORDER BY rank) AS rank FROM hits")
+def dedupe_ranking(spark, sf):
+    h = _two_lists(spark, sf)
+    return fusion.dedupe(h.unionByName(h.withColumn("rank", F.col("rank") + 100))).select("qid", "list", "id", "rank")
+
+
+@query(f"WITH {BM25_SQL} SELECT qid, id, round(score / (score + 4), 6) AS lexical, round(greatest(0, score), 6) AS dense, round(least(1, score * 61), 6) AS hybrid FROM bm25 WHERE rank <= 5")
+def rescale_modes(spark, sf):
+    s = F.col("score")
+    return lexical.bm25(questions(spark, sf), corpus(spark, sf), 5).select("qid", "id", *[F.round(fusion.rescale(s, m), 6).alias(m) for m in ("lexical", "dense", "hybrid")])
+
+
+@query(f"""WITH {BM25_SQL}, c AS (SELECT qid, b.id, rank, score, t, list_distinct(list_filter({tok('q.text')}, lambda w: NOT list_contains({quoted(W.RERANK_STOPWORDS)}, w))) AS q FROM bm25 b JOIN toks USING (id) JOIN benchmark q ON item_id = qid WHERE rank <= 24)
+SELECT qid, id, round({sql_contain('q', 't')}, 6) AS coverage, round(CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 0 END, 6) AS prior FROM c WINDOW w AS (PARTITION BY qid)""")
+def rerank_parts(spark, sf):
+    c = lexical.bm25(questions(spark, sf), corpus(spark, sf), 24).join(corpus(spark, sf), "id").join(questions(spark, sf), "qid")
+    return c.select("qid", "id", F.round(T.containment(rerank.query_terms(F.col("question")), T.tokenize(F.col("text"))), 6).alias("coverage"), F.round(fusion.min_max(F.col("score"), "qid"), 6).alias("prior"))
+
+
+@query()
+def rerank_heuristic(spark, sf):
+    c = lexical.bm25(questions(spark, sf), corpus(spark, sf), 24).join(corpus(spark, sf), "id").join(questions(spark, sf), "qid").withColumn("ordinal", F.lit(0))
+    return rerank.heuristic(c, 5).select("qid", "id", "rerank_score", "new_rank")
+
+
+@query()
+def hybrid_search(spark, sf):
+    chunks = corpus(spark, sf).withColumn("ordinal", F.lit(0)).withColumn("seq", F.col("id"))
+    return plans.search(questions(spark, sf), chunks)
+
+
+@query()
+def hashing_embed(spark, sf):
+    return embedding.with_embedding(corpus(spark, sf), "text", 256).select("id", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm"))
+
+
+@query()
+def mmr_select(spark, sf):
+    hits = fusion.cosine(*_vectors(spark, sf), 24).join(_vectors(spark, sf)[1].select("id", "vector"), "id")
+    lists = hits.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "id", "vector", "score"))).alias("c"))
+    return fusion.diversify(lists, "c", 5).select("qid", F.explode("picked").alias("i"), "c").select("qid", F.get("c", F.col("i"))["id"].alias("id"))
+
+
+@query("SELECT doc_id AS id, md5(CASE WHEN doc_id % 3 = 0 THEN upper(source) ELSE source END) AS digest FROM documents WHERE doc_id % 5 <> 0")
+def upsert_and_delete(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("s"), F.lit(0).alias("seq"))
+    new = d.filter("id % 3 = 0")
+    both = new.withColumn("seq", F.lit(1)).unionByName(new.withColumns({"s": F.upper("s"), "seq": F.lit(2)}))
+    return lexical.delete(lexical.upsert(d, both, "id", "seq"), d.filter("id % 5 = 0").select("id"), "id").select("id", F.md5("s").alias("digest"))
+
+
+_COVER = f"list_distinct({sql_stems(f'list_filter({sql_content(chr(98) + chr(46) + chr(116) + chr(101) + chr(120) + chr(116), W.STOPWORDS)}, lambda w: NOT list_contains({quoted(W.SCAFFOLD)}, w))')})"
+
+
+@query(f"""WITH {BM25_SQL}, c AS (SELECT b.item_id AS qid, {_COVER} AS q FROM benchmark b),
+ctx AS (SELECT qid, list_distinct(flatten(list(st))) AS v, max(score) AS top, count(*) AS n FROM (SELECT qid, score, {sql_stems('t')} AS st FROM bm25 JOIN toks USING (id) WHERE rank <= 5) GROUP BY qid),
+g AS (SELECT c.qid, CASE WHEN len(q) = 0 THEN 1.0 ELSE {sql_contain('q', 'v')} END AS cov, top / (top + 4) AS score, coalesce(n, 0) AS n FROM c LEFT JOIN ctx USING (qid))
+SELECT qid, round(coalesce(cov, 0), 6) AS coverage, CASE WHEN n = 0 THEN 'no_results' WHEN score < 0.1 THEN 'low_retrieval_score' WHEN cov < 0.7 THEN 'low_query_coverage' END AS reason FROM g""")
+def gate_reason(spark, sf):
+    q = questions(spark, sf)
+    ctx = lexical.bm25(q, corpus(spark, sf), 5).join(corpus(spark, sf), "id").groupBy("qid").agg(F.array_join(F.collect_list("text"), "\n").alias("context"), F.max("score").alias("top"), F.count("*").alias("n"))
+    d = q.join(ctx, "qid", "left").withColumn("coverage", guards.coverage(F.col("question"), F.coalesce("context", F.lit(""))))
+    return d.select("qid", F.round("coverage", 6).alias("coverage"), guards.gate(F.coalesce("n", F.lit(0)), fusion.rescale(F.col("top"), "lexical"), F.col("coverage")).alias("reason"))
+
+
+@query(f"SELECT doc_id, len(list_distinct({sql_stems('list_concat(' + tok('text') + ', list_filter(flatten(list_transform(' + tok('text') + ', lambda t: string_split_regex(t, $$[_-]$$))), lambda p: length(p) > 2))')}))::INT AS n FROM documents")
+def chunk_vocab(spark, sf):
+    return corpus(spark, sf).select(F.col("id").alias("doc_id"), F.size(guards.vocabulary(F.col("text"))).alias("n"))
+
+
+@query(f"SELECT pair, count(*)::BIGINT AS n FROM (SELECT unnest(list_transform(range(1, greatest(len(t), 1)), lambda i: t[i] || ' ' || t[i + 1])) AS pair FROM (SELECT {tok('text')} AS t FROM documents)) GROUP BY pair")
+def adjacent_bigrams(spark, sf):
+    return corpus(spark, sf).select(F.explode(T.bigrams(T.tokenize(F.col("text")))).alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
+
+
+@query()
+def anchor_identifiers(spark, sf):
+    return guards.identifiers(corpus(spark, sf))
+
+
+def _asked(spark):
+    rows = [(1, "Is SEV-4 covered by TLS 1.9 or v99?"), (2, "What does @app.dependency or anyio_backend do in CORSMiddleware?"), (3, "Who is the Chief Executive Officer here"), (4, "What is This Thing About")]
+    return spark.createDataFrame(rows, "qid long, question string")
+
+
+@query()
+def anchor_missing(spark, sf):
+    c = corpus(spark, sf)
+    more = spark.createDataFrame([(-1, "There is no SEV-4. SEV-3 pages at once; TLS 1.2 is required. Use app.mount with `jwt.decode()`.")], "id long, text string")
+    c, q = c.unionByName(more), _asked(spark)
+    ids = guards.missing_identifiers(q, c).select("qid", F.lit("identifier").alias("detector"), F.concat_ws("-", "prefix", "digits").alias("anchor"))
+    code = guards.unattested_code(q, c).select("qid", F.lit("code_identifier").alias("detector"), F.col("token").alias("anchor"))
+    names = guards.unattested_names(q, c).select("qid", F.lit("name_phrase").alias("detector"), F.col("run").alias("anchor"))
+    return ids.union(code).union(names)
+
+
+_CUES = "['cost', 'pric', 'fee', 'charg', 'expensiv', 'tariff']"
+
+
+@query(f"SELECT doc_id, NOT regexp_matches(text, $${W.FREE}$$, 'i') AND NOT regexp_matches(text, $${W.MONEY}$$, 'i') AS unfilled FROM documents")
+def money_slot(spark, sf):
+    return corpus(spark, sf).select(F.col("id").alias("doc_id"), T.money_slot_unfilled(F.lit("What does it cost per month?"), F.col("text")).alias("unfilled"))
+
+
+@query("SELECT doc_id, [(doc_id % 7)::INT, 3] AS markers, 'x, y.' AS stripped FROM documents WHERE doc_id % 7 <> 3 UNION ALL SELECT doc_id, [3], 'x, y.' FROM documents WHERE doc_id % 7 = 3")
+def extract_markers(spark, sf):
+    t = F.concat(F.lit("x 【"), (F.col("id") % 7).cast("string"), F.lit(", 3], y [3]."))
+    return corpus(spark, sf).select(F.col("id").alias("doc_id"), T.markers(t).alias("markers"), T.strip_markers(t).alias("stripped"))
+
+
+_TURNS = "SELECT conv_id, turn, text AS answer, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS reference FROM conversations"
+
+
+def _turns(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("answer"), F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")).alias("reference")).filter("reference is not null")
+
+
+@query(f"""WITH p AS (SELECT conv_id, turn, {tok('answer')} AS a, {tok('reference')} AS b FROM ({_TURNS}) WHERE reference IS NOT NULL)
+SELECT conv_id, turn, round(CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1.0 WHEN len(a) + len(b) = 0 THEN 0.0 ELSE 2.0 * coalesce(list_sum(list_transform(list_distinct(a), lambda w: least(len(list_filter(a, lambda y: y = w)), len(list_filter(b, lambda y: y = w))))), 0) / (len(a) + len(b)) END, 6)::DOUBLE AS token_f1,
+(a = b)::INT::DOUBLE AS exact_match FROM p""")
+def token_f1(spark, sf):
+    d = evaluation.with_token_f1(_turns(spark, sf), "answer", "reference")
+    return d.select("conv_id", "turn", "token_f1", evaluation.exact_match(F.col("answer"), F.col("reference")).alias("exact_match"))
+
+
+@query()
+def rouge_l(spark, sf):
+    return evaluation.with_rouge_l(_turns(spark, sf), "answer", "reference").select("conv_id", "turn", "rouge_l")
+
+
+_CONTENT = lambda t: sql_content(t, W.SUPPORT_STOPWORDS, 1)
+_PAIRS = lambda a: f"list_distinct(list_transform(range(1, greatest(len({a}), 1)), lambda i: {a}[i] || ' ' || {a}[i + 1]))"
+
+
+@query(f"""WITH p AS (SELECT conv_id, turn, {_CONTENT('answer')} AS a, {_CONTENT('reference')} AS b FROM ({_TURNS}) WHERE reference IS NOT NULL),
+q AS (SELECT *, {_PAIRS('a')} AS pa, {_PAIRS('b')} AS pb FROM p)
+SELECT conv_id, turn, round(CASE WHEN len(a) = 0 THEN 0.0 WHEN len(pa) = 0 THEN {sql_contain('a', 'b')} ELSE 0.65::DOUBLE * {sql_contain('a', 'b')} + 0.35::DOUBLE * {sql_contain('pa', 'pb')} END, 6) AS support FROM q""")
+def sentence_support(spark, sf):
+    return _turns(spark, sf).select("conv_id", "turn", F.round(guards.support(F.col("answer"), F.col("reference")), 6).alias("support"))
+
+
+@query()
+def groundedness(spark, sf):
+    t = _turns(spark, sf).withColumn("aid", F.concat_ws("-", "conv_id", "turn"))
+    return guards.groundedness(t.select("aid", "answer"), t.select("aid", F.col("reference").alias("context")))
+
+
+@query()
+def best_quote(spark, sf):
+    return guards.best_quote(_turns(spark, sf), "answer", "reference").select("conv_id", "turn", "quote")
+
+
+@query()
+def extractive_answer(spark, sf):
+    p = lexical.bm25(questions(spark, sf), corpus(spark, sf), 5).join(corpus(spark, sf), "id").join(questions(spark, sf), "qid")
+    return guards.extractive_answers(p.select("qid", "question", "rank", "text"))
+
+
+_REL = "rel AS (SELECT DISTINCT qid, id FROM scores JOIN labels ON id = doc_id WHERE quality = 1 AND id % 3 = 0)"
+
+
+@query(f"""WITH {BM25_SQL}, {_REL}, h AS (SELECT b.qid, b.id, b.rank AS r, (rel.id IS NOT NULL)::INT AS hit FROM bm25 b LEFT JOIN rel ON b.qid = rel.qid AND b.id = rel.id WHERE rank <= 20),
+g AS (SELECT *, sum(hit) OVER (PARTITION BY qid ORDER BY r) AS hits FROM h), n AS (SELECT qid, count(*) AS n_rel FROM rel GROUP BY qid),
+a AS (SELECT qid, sum(CASE WHEN hit = 1 AND r <= 5 THEN 1 ELSE 0 END) AS found, least(count(*), 5) AS seen, min(CASE WHEN hit = 1 THEN r END) AS first, sum(CASE WHEN hit = 1 AND r <= 5 THEN 1 / log2(r + 1) ELSE 0 END) AS dcg, sum(CASE WHEN hit = 1 THEN hits / r ELSE 0 END) AS ap FROM g GROUP BY qid)
+SELECT qid, coalesce(round(found::DOUBLE / n_rel, 6), 0) AS recall, round(found::DOUBLE / seen, 6) AS precision, (found > 0)::INT::DOUBLE AS hit_rate, coalesce(round(1.0::DOUBLE / first, 6), 0) AS mrr,
+coalesce(round(dcg / list_sum(list_transform(range(1, least(5, n_rel) + 1), lambda i: 1 / log2(i + 1))), 6), 0) AS ndcg, coalesce(round(ap / n_rel, 6), 0) AS average_precision FROM a LEFT JOIN n USING (qid)""")
+def retrieval_metrics(spark, sf):
+    q, c = questions(spark, sf), corpus(spark, sf)
+    good = table(spark, sf, "labels").filter("quality = 1 and doc_id % 3 = 0").select(F.col("doc_id").alias("id"))
+    rel = lexical.bm25_scores(q, c).join(good, "id", "left_semi").select("qid", "id")
+    return evaluation.ranking_metrics(lexical.bm25(q, c, 20), rel, 5)
+
+
+@query("SELECT source, count(*)::BIGINT AS n, round(avg(n_chars), 6) AS n_chars_mean, round(coalesce(stddev_samp(n_chars), 0), 6) AS n_chars_std FROM documents GROUP BY source")
+def metric_aggregate(spark, sf):
+    return evaluation.aggregate(table(spark, sf, "documents").withColumn("n_chars", F.col("n_chars").cast("double")), ["n_chars"], "source")
+
+
+@query("""SELECT sum(toxic)::BIGINT AS n_unanswerable, round(sum(toxic * (1 - quality))::DOUBLE / sum(toxic), 6) AS abstain_recall, round(sum(toxic * quality)::DOUBLE / sum(toxic), 6) AS false_answer_rate,
+round(sum((1 - toxic) * (1 - quality))::DOUBLE / sum(1 - toxic), 6) AS over_refusal_rate FROM labels""")
+def abstention_rates(spark, sf):
+    return evaluation.refusal_rates(table(spark, sf, "labels").select((F.col("toxic") == 1).alias("must_abstain"), (F.col("quality") == 0).alias("abstained")))
+
+
+_CANON = lambda t: f"array_to_string({tok(t)}, ' ')"
+
+
+@query(f"""WITH p AS (SELECT item_id AS pid, {_CANON('text')} AS c FROM benchmark), d AS (SELECT doc_id AS id, {_CANON('text')} AS h FROM documents WHERE {_CANON('text')} <> ''),
+w AS (SELECT pid, id FROM p, d WHERE contains(h, c) OR contains(c, h)), r AS (SELECT * FROM p WHERE pid NOT IN (SELECT pid FROM w)),
+s AS (SELECT pid, id, list_distinct(string_split(c, ' ')) AS a, list_distinct(string_split(h, ' ')) AS b FROM r, d)
+SELECT pid, id FROM w UNION ALL SELECT pid, id FROM s WHERE len(list_intersect(a, b)) >= 0.6 * least(len(a), len(b))""")
+def relevance_join(spark, sf):
+    return evaluation.relevant_chunks(questions(spark, sf).select(F.col("qid").alias("pid"), F.col("question").alias("text")), corpus(spark, sf))
+
+
+@query("SELECT doc_id, ((n_chars // 2) // 500 + 1)::INT AS page FROM documents WHERE n_chars > 0")
+def page_for_asof(spark, sf):
+    d = table(spark, sf, "documents").filter("n_chars > 0")
+    spans = F.transform(F.sequence(F.lit(0), F.floor((F.col("n_chars") - 1) / 500).cast("int")), lambda i: F.struct((i * 500).alias("start"), (i + 1).alias("page")))
+    return d.select("doc_id", loaders.page_at(spans, F.floor(F.col("n_chars") / 2)).alias("page"))
+
+
+@query("SELECT page_id, 0 AS start, (length(url) + 1)::INT AS \"end\", 1 AS page FROM pages UNION ALL SELECT page_id, (length(url) + 1)::INT, (length(url) + 1 + length(html))::INT, 2 FROM pages")
+def page_spans(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.explode(loaders.page_spans(F.array("url", "html"))).alias("s")).select("page_id", "s.*")
+
+
+def _chunks(name):
+    def run(spark, sf):
+        return chunking.chunk(table(spark, sf, "documents").select("doc_id", "text"), name).drop("text")
+
+    return run
+
+
+for _name in ("recursive", "fixed", "sentence", "semantic"):
+    QUERIES[f"{_name}_chunks"] = _chunks(_name)
+
+
+@query("SELECT * FROM (SELECT conv_id AS session_id, turn AS seq, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 6)")
+def session_history(spark, sf):
+    t = table(spark, sf, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "role", F.col("text").alias("content"))
+    return sessions.history(t).select("session_id", "seq", "role", "place")
+
+
+_FOLLOW = f"""len({tok('text')}) > 0 AND (list_contains({quoted(W.OPENERS)}, {tok('text')}[1]) OR {' OR '.join(f"starts_with(lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g')), '{p}')" for p in W.OPENING_PHRASES)} OR len({sql_content('text', W.STOPWORDS)}) < 3)"""
+
+
+@query(f"""WITH u AS (SELECT conv_id AS session_id, turn AS seq, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations WHERE role = 'user')
+SELECT session_id, seq, md5(CASE WHEN {_FOLLOW} AND coalesce(before, '') <> '' THEN before || ' ' || text ELSE text END) AS digest FROM u""")
+def condense_followup(spark, sf):
+    t = table(spark, sf, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "role", F.col("text").alias("content"))
+    return sessions.standalone(t).select("session_id", "seq", F.md5("standalone").alias("digest"))
+
+
+@query("SELECT c.c AS chunking, r.r AS retrieval FROM (SELECT unnest(['recursive/400/60', 'recursive/700/120', 'fixed/700/120']) AS c) c, (SELECT unnest(['dense@5', 'lexical@5', 'hybrid@5', 'hybrid+rerank@5', 'hybrid+rerank@8']) AS r) r")
+def config_grid(spark, sf):
+    c = spark.createDataFrame([("recursive/400/60",), ("recursive/700/120",), ("fixed/700/120",)], "chunking string")
+    r = spark.createDataFrame([("dense@5",), ("lexical@5",), ("hybrid@5",), ("hybrid+rerank@5",), ("hybrid+rerank@8",)], "retrieval string")
+    return c.crossJoin(r)
+
+
+@query("SELECT event_type, CASE WHEN value <= 1 THEN '1' WHEN value <= 5 THEN '5' WHEN value <= 25 THEN '25' WHEN value <= 100 THEN '100' ELSE 'inf' END AS le, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")
+def latency_histogram(spark, sf):
+    v = F.col("value")
+    return table(spark, sf, "events").groupBy("event_type", F.when(v <= 1, "1").when(v <= 5, "5").when(v <= 25, "25").when(v <= 100, "100").otherwise("inf").alias("le")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey, round(1 / (1 + exp(-c_acctbal / 1000)), 6) AS p FROM customer")
+def sigmoid_scores(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", F.round(T.sigmoid(F.col("c_acctbal") / 1000), 6).alias("p"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 100 THEN regexp_replace(left(text, 97), '\\s+$', '') || '...' ELSE text END AS short, CASE WHEN doc_id % 2 = 0 THEN source || ' (p.' || doc_id || ')' ELSE source || ' (chunk ' || doc_id || ')' END AS locator FROM documents")
+def truncate_and_locate(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", T.truncate(F.col("text"), 100).alias("short"), T.locator(F.col("source"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")), F.col("doc_id")).alias("locator"))
+
+
+@query("SELECT item_id, 'I could not find anything about \"a\" or \"b\" in ' || CASE WHEN item_id % 3 = 2 THEN 'the indexed documents' WHEN item_id % 3 = 1 THEN 'T0 or T1' ELSE 'T0' END || '.' AS message FROM benchmark")
+def abstain_message(spark, sf):
+    titles = F.transform(F.sequence(F.lit(0), (F.col("item_id") % 3).cast("int")), lambda i: F.concat(F.lit("T"), i.cast("string")))
+    return table(spark, sf, "benchmark").select("item_id", guards.abstention_message(F.lit("anchor_missing"), titles, T.array(["a", "b", "c"])).alias("message"))
+
+
+@query("SELECT item_id, [1, 3] AS idx, [0.9, 1.0]::DOUBLE[] AS val FROM benchmark")
+def parse_rerank_json(spark, sf):
+    reply = F.lit('Sure: [{"index": 1, "score": 9}, {"index": 3, "score": 12}, {"index": 1, "score": 2}, {"index": 7, "score": 1}] ok')
+    m = rerank.parse_scores(reply, F.lit(3))
+    return table(spark, sf, "benchmark").select("item_id", F.map_keys(m).alias("idx"), F.map_values(m).alias("val"))
+
+
+@query("SELECT lang, round(sum(n_chars * 0.5 + 10 * 1.5) / 1e6, 8) AS cost, sum(n_chars)::BIGINT AS tokens FROM documents GROUP BY lang")
+def usage_cost(spark, sf):
+    return table(spark, sf, "documents").groupBy("lang").agg(F.round(F.sum(F.col("n_chars") * 0.5 + 10 * 1.5) / 1e6, 8).alias("cost"), F.sum("n_chars").alias("tokens"))
+
+
+@query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) >= 0.9")
+def near_duplicate_pairs(spark, sf):
+    e = table(spark, sf, "embeddings").select("vec_id", "label", T.unit(F.col("embedding")).alias("u"))
+    x, y = e.select("label", F.col("vec_id").alias("a"), F.col("u").alias("p")), e.select("label", F.col("vec_id").alias("b"), F.col("u").alias("q"))
+    return x.join(y, "label").filter("a < b").select("a", "b", F.round(T.dot(F.col("p"), F.col("q")), 4).alias("cosine")).filter("cosine >= 0.9")
