@@ -16,12 +16,11 @@ def query_terms(question: Column) -> Column:
     return F.array_distinct(T.content_words(question, W.RERANK_STOPWORDS, 1))
 
 
-def proximity(terms: Column, tokens: Column) -> Column:
-    """(matched / asked) * (matched / tightest window over all matched terms); 0 below two.
+def proximity(terms: Column, tokens: Column, matched: Column) -> Column:
+    """``matched`` is the column of the terms among the tokens: (matched / asked) * (matched / tightest window over all matched terms); 0 below two.
 
     Reading on, each matched term has a last place; a window that ends here starts at the earliest of them.
     """
-    matched = F.array_intersect(terms, tokens)
     hits = F.filter(F.transform(tokens, lambda t, i: F.struct((F.array_position(matched, t) - 1).cast("int").alias("k"), i.alias("i"))), lambda h: h["k"] >= 0)
     start = F.struct(F.transform(matched, lambda _: F.lit(-1)).alias("last"), F.lit(2**31 - 1).alias("best"))
 
@@ -38,11 +37,11 @@ def heuristic(candidates: DataFrame, k: int) -> DataFrame:
     """The best ``k`` of each question's candidates (qid, question, id, text, ordinal, score, rank): ``rerank_score`` and new ``rank``; ties keep their order."""
     terms, tokens = query_terms(F.col("question")), T.tokenize(F.col("text"))
     phrase = F.lower(T.squeeze(F.col("question")))
-    near = F.when((F.size("__q") >= 2) & (phrase != "") & F.contains(F.lower(T.squeeze(F.col("text"))), phrase), F.lit(1.0)).otherwise(proximity(F.col("__q"), F.col("__t")))
-    d = candidates.withColumn("__prior", min_max(F.col("score"), "qid")).withColumn("__q", terms).withColumn("__t", tokens)
+    near = F.when((F.size("__q") >= 2) & (phrase != "") & F.contains(F.lower(T.squeeze(F.col("text"))), phrase), F.lit(1.0)).otherwise(proximity(F.col("__q"), F.col("__t"), F.col("__m")))
+    d = candidates.withColumn("__prior", min_max(F.col("score"), "qid")).withColumn("__q", terms).withColumn("__t", tokens).withColumn("__m", F.array_intersect("__q", "__t"))
     place = 1 / (1 + DECAY * F.greatest(F.lit(0), F.col("ordinal")))
     value = COVERAGE * T.containment(F.col("__q"), F.col("__t")) + PROXIMITY * near + FUSION * F.col("__prior") + POSITION * place
-    d = d.withColumn("rerank_score", F.round(value, 6)).drop("__q", "__t", "__prior")
+    d = d.withColumn("rerank_score", F.round(value, 6)).drop("__q", "__t", "__m", "__prior")
     return d.withColumn("new_rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("rerank_score"), "rank"))).filter(F.col("new_rank") <= max(0, k))
 
 
