@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .chunking import TOKEN
 
@@ -35,7 +36,7 @@ def embed_one(text: str, dim: int = 1024) -> np.ndarray:
 
 
 def embed(text: Column, dim: int = 1024) -> Column:
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(ArrayType(FloatType()))
     def run(s):
         return s.map(lambda x: embed_one(x or "", dim).tolist())
 

@@ -8,6 +8,7 @@ import unicodedata
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions import text as T
 
@@ -17,17 +18,17 @@ SUFFIXES = ("md", "markdown", "txt", "rst", "log", "html", "htm", "json", "csv",
 BLOCKS = "p|div|br|hr|li|ul|ol|dl|dt|dd|tr|td|th|table|thead|tbody|section|article|header|footer|nav|aside|main|form|figure|figcaption|blockquote|pre|h[1-6]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s):
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(s):
     return s.map(lambda x: x if x is None or "&" not in x else html.unescape(x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def render_json(s):
     """JSON with sorted keys and an indent of two; null if it can't be read."""
 
@@ -40,7 +41,7 @@ def render_json(s):
     return s.map(one)
 
 
-@F.pandas_udf("text string, row_count int, column_count int")
+@F.pandas_udf(StructType([StructField("text", StringType()), StructField("row_count", IntegerType()), StructField("column_count", IntegerType())]))
 def render_csv(s):
     """Rows that aren't blank, cells stripped and joined by bars."""
     import csv
