@@ -58,7 +58,7 @@ def with_rouge_l(df: DataFrame, prediction: str, reference: str) -> DataFrame:
 
     def row(prev: Column, w: Column) -> Column:
         def cell(acc: Column, j: Column) -> Column:
-            left = F.coalesce(F.element_at(acc, -1), F.lit(0))
+            left = F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0))
             diagonal = F.coalesce(F.get(prev, j - 1), F.lit(0))
             value = F.when(F.get(b, j) == w, diagonal + 1).otherwise(F.greatest(left, F.get(prev, j)))
             return F.concat(acc, F.array(value))
