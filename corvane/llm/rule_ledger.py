@@ -84,7 +84,7 @@ def _failures() -> dict[str, Column]:
         "too_short": n < 50,
         "repeated_words": 100 * F.col("__n_repeat_words") > 50 * n,
         "symbols": 10 * F.col("__n_symbols") > n,
-        "duplicate_lines": 100 * F.col("__n_dup_lines") > 30 * F.col("__n_lines"),
+        "duplicate_lines": 2 * F.col("__n_dup_lines") > F.col("__n_lines"),
         "word_length": (F.col("__word_chars") < 3 * n) | (F.col("__word_chars") > 12 * n),
         "shouting": 2 * F.col("__n_upper") > F.col("__word_chars"),
     }
@@ -156,7 +156,7 @@ m AS (
   FROM (SELECT row_number() OVER () AS r, * FROM a) LEFT JOIN q USING (r)),
 f AS (
   SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
-           + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END
+           + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END
            + CASE WHEN word_chars < 3 * n_words OR word_chars > 12 * n_words THEN 16 ELSE 0 END
            + CASE WHEN 2 * n_upper > word_chars THEN 32 ELSE 0 END)::BIGINT AS failed_rules
   FROM m)
