@@ -58,11 +58,12 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 def _lines(docs: DataFrame, depth: int) -> DataFrame:
     """d, h, p (place), leaf, line (hash), around, masked of every line with a word."""
-    parts = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("p"), F.btrim(F.regexp_replace(F.regexp_replace(x, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>"), r"[\x20\x09-\x0D]+", " ")).alias("masked")))
+    fields = lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>")).otherwise(x)
+    single = lambda x: F.when(x.rlike(r"[\x09-\x0D]|  "), F.regexp_replace(x, r"[\x20\x09-\x0D]+", " ")).otherwise(x)
+    parts = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("p"), F.trim(single(fields(x))).alias("masked")))
     d = _rows(docs).select("d", "h", F.filter(parts, lambda x: x["masked"] != "").alias("parts"))
-    tokens = lambda x: F.split(x["masked"], " ")
-    paths = F.transform("parts", lambda x: F.xxhash64(F.size(tokens(x)), *[F.get(tokens(x), F.lit(i)) for i in range(depth)]))
-    d = d.withColumn("paths", paths)
+    # a path is the number of tokens (of the spaces between them) and the text of the first ones
+    d = d.withColumn("paths", F.transform("parts", lambda x: F.xxhash64(F.length(x["masked"]) - F.length(F.replace(x["masked"], F.lit(" "), F.lit(""))), F.substring_index(x["masked"], " ", depth))))
     whole = F.transform("parts", lambda x, i: F.struct(x["p"].alias("p"), F.get(F.col("paths"), i).alias("leaf"), F.xxhash64(x["masked"]).alias("line"), F.xxhash64(F.get(F.col("paths"), i - 1), F.get(F.col("paths"), i + 1)).alias("around"), x["masked"].alias("masked")))
     return d.select("d", "h", F.explode(whole).alias("x")).select("d", "h", "x.*")
 
@@ -103,7 +104,7 @@ def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, spread: float = MI
     """(d, h, places): the places of lines to drop, of each distinct (doc_id or the largest long, hash of the text) that has some."""
     spark = docs.sparkSession
     lines = _lines(docs, depth)
-    leaves = c.staged(lines.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > 1), "line-leaves").filter(F.col("n") >= min_docs).select("leaf")
+    leaves = c.staged(lines.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > 1), "line-leaves").filter(F.col("n") >= min_docs).select("leaf").hint("merge")  # one plan at every size
     with _filtered_joins(spark):
         distinct = lines.select("leaf", "line", "masked").join(leaves, "leaf").groupBy("leaf", "line", "masked").agg(F.count("*").alias("n"))
         merged = c.staged(_merged(c.staged(distinct, "line-texts"), similar), "line-merges")
