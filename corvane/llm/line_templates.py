@@ -2,7 +2,8 @@
 
 A line's path in the tree has a fixed depth: its number of tokens, then its leading tokens, where a token with a digit
 is a variable field (``<*>``). In a leaf, lines whose tokens agree at enough places are of one template, whose other
-places become ``<*>``; lines are taken in the order of how often they occur, in blocks of ``BLOCK`` distinct lines. A
+places become ``<*>``; lines are taken in the order of how often they occur, each held against every template of its
+leaf that can agree. A
 template that recurs in enough documents, mostly in different surroundings, is boilerplate, and its lines are dropped.
 The surroundings (the paths of the lines before and after) tell boilerplate from the lines of copied documents, which
 recur together and are left to document dedup.
@@ -11,13 +12,14 @@ recur together and are left to document dedup.
 from __future__ import annotations
 
 from contextlib import contextmanager
+from operator import eq
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _common as c
 
-DEPTH, SIMILAR, BLOCK, MIN_DOCS, MIN_SPREAD = 3, 0.8, 256, 5, 0.5
+DEPTH, SIMILAR, MIN_DOCS, MIN_SPREAD = 3, 0.8, 5, 0.5
 
 
 def templates(lines: list[list[str]], similar: float = SIMILAR) -> list[tuple[str, ...]]:
@@ -39,6 +41,37 @@ def templates(lines: list[list[str]], similar: float = SIMILAR) -> list[tuple[st
     return [tuple(groups[k]) for k in mine]
 
 
+def indexed_templates(lines: list[list[str]], similar: float = SIMILAR, depth: int = DEPTH) -> list[tuple[str, ...]]:
+    """What ``templates`` gives, for lines that agree in their first ``depth`` tokens, without a look at every template.
+
+    A template may differ from a line at ``off`` places at most, so of ``off + 1`` parts of the other places one is equal.
+    """
+    size = len(lines[0]) if lines else 0
+    off = size - next((k for k in range(size + 1) if k >= similar * size), size + 1)
+    parts = [slice(depth + k, None, off + 1) for k in range(off + 1)]
+    groups: list[list[str]] = []
+    index: list[dict[tuple, set[int]]] = [{} for _ in parts]
+    mine = []
+    for tokens in lines:
+        best, most = None, size - off - 1
+        for k in sorted(set().union(*(found.get(tuple(tokens[p]), ()) for found, p in zip(index, parts)))):
+            same = sum(map(eq, groups[k], tokens))
+            if same > most:
+                best, most = k, same
+        if best is None:
+            best, old, new = len(groups), None, list(tokens)
+            groups.append(new)
+        else:
+            old, new = groups[best], [a if a == b else "<*>" for a, b in zip(groups[best], tokens)]
+            groups[best] = new
+        mine.append(best)
+        for found, p in zip(index, parts) if old != new else ():
+            if old is not None and old[p] != new[p]:
+                found[tuple(old[p])].discard(best)
+            found.setdefault(tuple(new[p]), set()).add(best)
+    return [tuple(groups[k]) for k in mine]
+
+
 @contextmanager
 def _filtered_joins(spark):
     """Lets joins with a small filtered table drop rows before their shuffle by a Bloom filter of fixed largest size; results are the same without."""
@@ -68,8 +101,8 @@ def _lines(docs: DataFrame, depth: int) -> DataFrame:
     return d.select("d", "h", F.explode(whole).alias("x")).select("d", "h", "x.*")
 
 
-def _merged(distinct: DataFrame, similar: float) -> DataFrame:
-    """(leaf, line, template) of distinct lines (leaf, line, masked, n) whose template isn't the line itself. A task holds one block of a leaf."""
+def _merged(distinct: DataFrame, similar: float, depth: int) -> DataFrame:
+    """(leaf, line, template) of distinct lines (leaf, line, masked, n) whose template isn't the line itself. A task holds one leaf at a time."""
 
     def run(batches):
         import pyarrow as pa
@@ -78,7 +111,7 @@ def _merged(distinct: DataFrame, similar: float) -> DataFrame:
         def done(block):
             if len(block) < 2:
                 return
-            got = templates([m.split(" ") for _, _, m in block], similar)
+            got = indexed_templates([m.split(" ") for _, _, m in block], similar, depth)
             signed = lambda t: (x := xxhash.xxh64_intdigest(" ".join(t), 42)) - (x >> 63 << 64)  # noqa: E731  the hash that lines have
             out = [(leaf, line, signed(t)) for (leaf, line, m), t in zip(block, got) if " ".join(t) != m]
             if out:
@@ -86,18 +119,16 @@ def _merged(distinct: DataFrame, similar: float) -> DataFrame:
 
         block, at = [], None
         for batch in batches:
-            for leaf, part, line, masked in zip(*(batch.column(x).to_pylist() for x in ("leaf", "part", "line", "masked"))):
-                if (leaf, part) != at or len(block) >= BLOCK:
+            for leaf, line, masked in zip(*(batch.column(x).to_pylist() for x in ("leaf", "line", "masked"))):
+                if leaf != at:
                     yield from done(block)
-                    block, at = [], (leaf, part)
+                    block, at = [], leaf
                 block.append((leaf, line, masked))
         yield from done(block)
 
     n = c.partitions(distinct.sparkSession)
-    # a leaf with very many lines is dealt to parts by a hash; a template found in two parts is one, as it reads the same
-    sizes = distinct.groupBy("leaf").agg(F.count("*").alias("lines")).filter("lines > 1")
-    dealt = distinct.join(sizes, "leaf").withColumn("part", F.pmod(F.xxhash64("line", F.lit(1)), F.greatest(F.lit(1), F.floor(F.col("lines") / (4 * BLOCK)))))
-    return dealt.repartition(n, "leaf", "part").sortWithinPartitions("leaf", "part", F.desc("n"), "masked").select("leaf", "part", "line", "masked").mapInArrow(run, "leaf long, line long, template long")
+    sizes = distinct.groupBy("leaf").agg(F.count("*").alias("lines")).filter("lines > 1").select("leaf")
+    return distinct.join(sizes, "leaf").repartition(n, "leaf").sortWithinPartitions("leaf", F.desc("n"), "masked").select("leaf", "line", "masked").mapInArrow(run, "leaf long, line long, template long")
 
 
 def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, spread: float = MIN_SPREAD, depth: int = DEPTH, similar: float = SIMILAR) -> DataFrame:
@@ -107,7 +138,7 @@ def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, spread: float = MI
     leaves = c.staged(lines.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > 1), "line-leaves").filter(F.col("n") >= min_docs).select("leaf").hint("merge")  # one plan at every size
     with _filtered_joins(spark):
         distinct = lines.select("leaf", "line", "masked").join(leaves, "leaf").groupBy("leaf", "line", "masked").agg(F.count("*").alias("n"))
-        merged = c.staged(_merged(c.staged(distinct, "line-texts"), similar), "line-merges")
+        merged = c.staged(_merged(c.staged(distinct, "line-texts"), similar, depth), "line-merges")
         narrow = lines.select("d", "h", "p", "leaf", "line", "around").join(leaves, "leaf").join(merged, ["leaf", "line"], "left")
         narrow = c.staged(narrow.select("d", "h", "p", "around", "leaf", F.coalesce("template", "line").alias("template")), "line-places")
     docs_of = narrow.groupBy("leaf", "template", "d", "h").count().groupBy("leaf", "template").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
