@@ -4,9 +4,8 @@ A line's path in the tree has a fixed depth: its number of tokens, then its lead
 is a variable field (``<*>``). In a leaf, lines whose tokens agree at enough places are of one template, whose other
 places become ``<*>``; lines are taken in the order of how often they occur, each held against every template of its
 leaf that can agree. A
-template that recurs in enough documents, mostly in different surroundings, is boilerplate, and its lines are dropped.
-The surroundings (the paths of the lines before and after) tell boilerplate from the lines of copied documents, which
-recur together and are left to document dedup.
+template that recurs in enough different texts is boilerplate, and its lines are dropped. Exact copies are one text, so
+lines that only copied documents share are left to document dedup.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import _common as c
 
-DEPTH, SIMILAR, MIN_DOCS, MIN_SPREAD = 3, 0.8, 5, 0.5
+DEPTH, SIMILAR, MIN_DOCS = 3, 0.8, 5
 
 
 def templates(lines: list[list[str]], similar: float = SIMILAR) -> list[tuple[str, ...]]:
@@ -90,14 +89,14 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def _lines(docs: DataFrame, depth: int) -> DataFrame:
-    """d, h, p (place), leaf, line (hash), around, masked of every line with a word."""
+    """d, h, p (place), leaf, line (hash), masked of every line with a word."""
     fields = lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*", "<*>")).otherwise(x)
     single = lambda x: F.when(x.rlike(r"[\x09-\x0D]|  "), F.regexp_replace(x, r"[\x20\x09-\x0D]+", " ")).otherwise(x)
     parts = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("p"), F.trim(single(fields(x))).alias("masked")))
     d = _rows(docs).select("d", "h", F.filter(parts, lambda x: x["masked"] != "").alias("parts"))
     # a path is the number of tokens (of the spaces between them) and the text of the first ones
     d = d.withColumn("paths", F.transform("parts", lambda x: F.xxhash64(F.length(x["masked"]) - F.length(F.replace(x["masked"], F.lit(" "), F.lit(""))), F.substring_index(x["masked"], " ", depth))))
-    whole = F.transform("parts", lambda x, i: F.struct(x["p"].alias("p"), F.get(F.col("paths"), i).alias("leaf"), F.xxhash64(x["masked"]).alias("line"), F.xxhash64(F.get(F.col("paths"), i - 1), F.get(F.col("paths"), i + 1)).alias("around"), x["masked"].alias("masked")))
+    whole = F.transform("parts", lambda x, i: F.struct(x["p"].alias("p"), F.get(F.col("paths"), i).alias("leaf"), F.xxhash64(x["masked"]).alias("line"), x["masked"].alias("masked")))
     return d.select("d", "h", F.explode(whole).alias("x")).select("d", "h", "x.*")
 
 
@@ -131,7 +130,7 @@ def _merged(distinct: DataFrame, similar: float, depth: int) -> DataFrame:
     return distinct.join(sizes, "leaf").repartition(n, "leaf").sortWithinPartitions("leaf", F.desc("n"), "masked").select("leaf", "line", "masked").mapInArrow(run, "leaf long, line long, template long")
 
 
-def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, spread: float = MIN_SPREAD, depth: int = DEPTH, similar: float = SIMILAR) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, similar: float = SIMILAR) -> DataFrame:
     """(d, h, places): the places of lines to drop, of each distinct (doc_id or the largest long, hash of the text) that has some."""
     spark = docs.sparkSession
     lines = _lines(docs, depth)
@@ -139,11 +138,9 @@ def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, spread: float = MI
     with _filtered_joins(spark):
         distinct = lines.select("leaf", "line", "masked").join(leaves, "leaf").groupBy("leaf", "line", "masked").agg(F.count("*").alias("n"))
         merged = c.staged(_merged(c.staged(distinct, "line-texts"), similar, depth), "line-merges")
-        narrow = lines.select("d", "h", "p", "leaf", "line", "around").join(leaves, "leaf").join(merged, ["leaf", "line"], "left")
-        narrow = c.staged(narrow.select("d", "h", "p", "around", "leaf", F.coalesce("template", "line").alias("template")), "line-places")
-    docs_of = narrow.groupBy("leaf", "template", "d", "h").count().groupBy("leaf", "template").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
-    around = narrow.groupBy("leaf", "template", "around").count().groupBy("leaf", "template").agg(F.count("*").alias("n_around"))
-    drop = docs_of.join(around, ["leaf", "template"]).filter(F.col("n_around") >= spread * F.col("n_docs")).select("leaf", "template")
+        narrow = lines.select("d", "h", "p", "leaf", "line").join(leaves, "leaf").join(merged, ["leaf", "line"], "left")
+        narrow = c.staged(narrow.select("d", "h", "p", "leaf", F.coalesce("template", "line").alias("template")), "line-places")
+    drop = narrow.groupBy("leaf", "template", "h").count().groupBy("leaf", "template").agg(F.count("*").alias("n_texts")).filter(F.col("n_texts") >= min_docs).select("leaf", "template")
     return narrow.join(drop, ["leaf", "template"]).groupBy("d", "h").agg(F.collect_set("p").alias("places"))
 
 

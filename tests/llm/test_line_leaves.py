@@ -25,3 +25,13 @@ def test_lines_of_a_large_leaf_are_held_against_all_its_templates(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.d: r.places for r in lt.repeated_lines(df).collect()}
     assert {i: 1 in got.get(i, []) for i in range(12)} == dict.fromkeys(range(12), True)
+
+
+def test_boilerplate_of_several_lines_goes_whatever_surrounds_it(spark):
+    footer = "first line of the footer\nsecond line of the footer\nthird line of the footer"
+    rows = [(i, f"{'own ' * (i + 1)}words\n{footer}") for i in range(8)]
+    rows += [(100 + i, "a copied document\nsecond line of the footer\nits own end") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in lt.drop_repeated_lines(df).collect()}
+    assert all(got[i] == f"{'own ' * (i + 1)}words" for i in range(8))
+    assert all(got[100 + i] == "a copied document\nits own end" for i in range(200))
