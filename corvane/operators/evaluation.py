@@ -1,4 +1,4 @@
-"""Retrieval, citation, text and refusal metrics over batches of rankings."""
+"""Retrieval, text and refusal metrics over batches of rankings."""
 
 from __future__ import annotations
 
