@@ -1,11 +1,12 @@
-"""Document fingerprints: invertible Bloom lookup tables over paragraph digests, in column functions.
-
-A document's paragraphs (its lines with a word; a repeated one is told apart by its number) have 60-bit digests. A
-sketch has ``lanes`` small tables; a digest's low bits choose its table and three of the table's cells. A cell holds the
-XOR of its digests, the XOR of their checks and their number. Cells of two versions subtract, and peeling takes out,
-round by round, the digests of cells that hold a single one, until the tables are empty; a table that doesn't empty is
-a failure, and the pair is sketched again with four times the tables. What was peeled is the difference, digest by
-digest, and its size against the numbers of paragraphs is the likeness.
+"""Document fingerprints: one invertible Bloom lookup sketch per document, in column functions.
+
+A document's paragraphs (lines, cut after sentences, that have a word) have 64-bit digests; equal paragraphs are numbered,
+so each copy has its own. A sketch has three tables of ``w`` cells, ``w`` a power of two; a digest is in one cell of each.
+A cell holds the XOR of its digests, the XOR of their checks and their number; only cells in use are kept. Sketches of
+one ``w`` subtract cell by cell, and peeling takes out, round by round, the digests that are alone in a cell, until no
+cell is left. If cells are left, it is done again with twice the ``w``. A document's sketch is the smallest, from as many cells a
+table as it has paragraphs, that can be peeled by itself, so its digests can always be recovered from it, and with them
+it can be enlarged. Its string, the fingerprint, holds all of it: any two fingerprints can be subtracted and peeled later.
 """
 
 from __future__ import annotations
@@ -15,75 +16,121 @@ from pyspark.sql import functions as F
 
 from . import _common as c
 
-CELLS, LOAD, ROUNDS = 12, 5, 12
-TRIES = (12, 24, 48, 96)
+LEAST, WIDEST, ROUNDS = 4, 1 << 21, 48
+#: Cells (number 3 * place + table, XOR of digests, XOR of checks, count), and digests with their checks and sides.
+CELLS, KEYS = "array<struct<c:bigint,x:bigint,g:bigint,n:bigint>>", "array<struct<x:bigint,g:bigint,n:bigint>>"
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _long(v: int) -> Column:
+    return F.lit(v).cast("long")
+
+
+def _runs(e: Column, key) -> Column:
+    """Where the runs of equal ``key`` begin in the sorted array ``e``."""
+    n = F.size(e)
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.filter(places, lambda i: (i == 0) | (key(F.get(e, i)) != key(F.get(e, i - 1))))
 
 
 def digests(text: Column) -> Column:
-    """Distinct digests (array<long>) of the paragraphs of ``text``: lines, cut after sentences, that have a word. None: an empty array."""
+    """Digests (array<long>) of the paragraphs of ``text``, the k-th of equal ones by its number too. None for no words: an empty array."""
     parts = F.split(F.coalesce(text, F.lit("")), r"\n|(?<=[.!?])[\x20\x09-\x0D]+")
-    return F.array_distinct(F.transform(F.filter(parts, lambda p: p.rlike(r"[^\x20\x09-\x0D]")), lambda p: F.xxhash64(p)))
+    hashes = F.sort_array(F.transform(F.filter(parts, lambda p: p.rlike(r"[^\x20\x09-\x0D]")), lambda p: F.xxhash64(p)))
+
+    def numbered(e: Column) -> Column:
+        several = _let(_runs(e, lambda x: x), lambda r: F.flatten(F.transform(r, lambda s, k: F.transform(F.sequence(s, F.coalesce(F.get(r, k + 1), F.size(e)) - 1), lambda i: F.when(i == s, F.get(e, i)).otherwise(F.xxhash64(F.get(e, i), i - s))))))
+        return F.when(F.size(F.array_distinct(e)) == F.size(e), e).otherwise(several)
+
+    return _let(hashes, numbered)
+
+
+def _cell(cell: Column, x: Column, g: Column, n: Column) -> Column:
+    return F.struct(cell.alias("c"), x.alias("x"), g.alias("g"), n.alias("n"))
 
 
-_EMPTY = "named_struct('x', 0L, 'h', 0L, 'n', 0)"
+def _combined(cells: Column) -> Column:
+    """Cells of one number become one; those with nothing in them go. What adds, subtracts, folds and peels."""
 
+    def added(e: Column) -> Column:
+        def one(s: Column, k: Column, r: Column) -> Column:
+            first, n = F.get(e, s), F.coalesce(F.get(r, k + 1), F.size(e)) - s
+            rest = F.aggregate(F.slice(e, s + 2, n - 1), first, lambda a, q: _cell(a["c"], a["x"].bitwiseXOR(q["x"]), a["g"].bitwiseXOR(q["g"]), a["n"] + q["n"]))
+            return F.when(n == 1, first).otherwise(rest)
 
-def _hit(key: str, i: str, m: str) -> str:
-    """Whether ``key`` has cell ``i`` of ``m``: each third of the cells has one cell of every key."""
-    w = f"({m} div 3)"
-    return f"(shiftright({key}, cast(18 + 15 * ({i} div {w}) as int)) & 32767) % {w} = {i} % {w}"
+        return _let(_runs(e, lambda x: x["c"]), lambda r: F.transform(r, lambda s, k: one(s, k, r)))
 
+    return F.filter(_let(F.sort_array(cells), added), lambda q: (q["n"] != 0) | (q["x"] != 0) | (q["g"] != 0))
 
-def _cells(keys: str, m: str) -> str:
-    return f"transform(sequence(0, {m} - 1), i -> aggregate({keys}, {_EMPTY}, (c, k) -> if({_hit('k', 'i', m)}, named_struct('x', c.x ^ k, 'h', c.h ^ xxhash64(k), 'n', c.n + 1), c)))"
 
+def _places(keys: Column, w: Column, sign: int = 1) -> Column:
+    """The cells of each of ``keys`` (x, g, n) alone, ``n`` times ``sign``."""
+    at = lambda k, j: F.shiftright(k["g"], 21 * j).bitwiseAND(w - 1) * 3 + j
+    return F.flatten(F.transform(keys, lambda k: F.array(*[_cell(at(k, j), k["x"], k["g"], k["n"] * sign) for j in range(3)])))
 
-def _peeled(a: str, b: str) -> str:
-    """Numbers of digests only in ``a`` and only in ``b`` (small arrays): sketches subtracted, then peeled, larger after a failure; ``ok`` is false if the largest failed too."""
-    m = "m"
-    start = f"zip_with({_cells(a, m)}, {_cells(b, m)}, (p, q) -> named_struct('x', p.x ^ q.x, 'h', p.h ^ q.h, 'n', p.n - q.n))"
-    pure = "array_distinct(transform(filter(s.cells, c -> abs(c.n) = 1 and c.h = xxhash64(c.x)), c -> named_struct('x', c.x, 'n', c.n)))"
-    less = f"transform(s.cells, (c, i) -> aggregate(ps, c, (d, p) -> if({_hit('p.x', 'i', m)}, named_struct('x', d.x ^ p.x, 'h', d.h ^ xxhash64(p.x), 'n', d.n - p.n), d)))"
-    step = f"if(exists(s.cells, c -> c.n <> 0 or c.x <> 0), transform(array({pure}), ps -> named_struct('cells', {less}, 'a', s.a + size(filter(ps, p -> p.n = 1)), 'b', s.b + size(filter(ps, p -> p.n = -1))))[0], s)"
-    end = "s -> named_struct('a', s.a, 'b', s.b, 'ok', not exists(s.cells, c -> c.n <> 0 or c.x <> 0))"
-    once = f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {start}, 'a', 0, 'b', 0), (s, r) -> {step}, {end})"
-    tries = ", ".join(map(str, TRIES))
-    return f"aggregate(array({tries}), named_struct('a', 0, 'b', 0, 'ok', false), (t, m) -> if(t.ok, t, {once}))"
 
+def _peel(cells: Column, w: Column) -> Column:
+    """struct<cells, got, open>: what is left of ``cells`` and the digests that came out, with n = 1 or -1 for the side they are from."""
+    pure = lambda s: F.transform(F.filter(s["cells"], lambda q: (F.abs(q["n"]) == 1) & (q["g"] == F.xxhash64(q["x"]))), lambda q: F.struct(q["x"].alias("x"), q["g"].alias("g"), q["n"].alias("n")))
+    state = lambda cells, got, more: F.struct(cells.alias("cells"), got.alias("got"), more.alias("open"))
+
+    def taken(s: Column, p: Column) -> Column:
+        once = F.filter(p, lambda k, i: (i == 0) | (k["x"] != F.get(p, i - 1)["x"]))
+        return _let(once, lambda o: state(_combined(F.concat(s["cells"], _places(o, w, -1))), F.concat(s["got"], o), F.size(o) > 0))
+
+    step = lambda s, _: F.when(s["open"] & (F.size(s["cells"]) > 0), _let(F.sort_array(pure(s)), lambda p: taken(s, p))).otherwise(s)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), state(cells, F.array().cast(KEYS), F.lit(True)), step)
+
+
+def _smallest(w: Column, sketched) -> Column:
+    """struct<w, cells, got>: what peeling takes from ``sketched(w)``, cells, at the first of w, 2 w, 4 w and so on where it leaves none."""
+    state = lambda w, cells, got, ok: F.struct(w.alias("w"), cells.alias("cells"), got.alias("got"), ok.alias("ok"))
+    none = state(_long(0), F.array().cast(CELLS), F.array().cast(KEYS), F.lit(False))
+    once = lambda v: _let(sketched(v), lambda cells: _let(_peel(cells, v), lambda p: state(v, cells, p["got"], F.size(p["cells"]) == 0)))
+    step = lambda s, i: F.when(s["ok"], s).otherwise(_let(F.least(F.call_function("shiftleft", w, i), _long(WIDEST)), once))
+    end = lambda s: F.when(s["ok"], F.struct(s["w"], s["cells"], s["got"])).otherwise(F.raise_error(F.lit("a sketch of the largest size can't be peeled")).cast(f"struct<w:bigint,cells:{CELLS},got:{KEYS}>"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(WIDEST.bit_length())), none, step, end)
+
+
+def sketch(keys: Column) -> Column:
+    """struct<w, cells, got> of an array of different digests: the smallest sketch that can be peeled by itself, and the digests that peeling it recovers.
+
+    Raises for texts of some millions of paragraphs, which the largest size can't hold.
+    """
+
+    def build(k: Column) -> Column:
+        least = F.call_function("shiftleft", _long(1), F.length(F.bin(F.greatest(F.size(k), F.lit(LEAST)) - 1)))
+        with_checks = F.transform(k, lambda x: F.struct(x.alias("x"), F.xxhash64(x).alias("g"), _long(1).alias("n")))
+        return _let(least, lambda w: _let(with_checks, lambda g: _smallest(w, lambda v: _combined(_places(g, v)))))
 
-def _lanes(keys: str, l1: str, l2: str) -> str:
-    """``keys`` dealt to l1 * l2 lanes (powers of two) by their low bits, in two steps so that long documents take n * sqrt(n)."""
-    return f"flatten(transform(transform(sequence(0, {l1} - 1), l -> filter({keys}, k -> (k & ({l1} - 1)) = l)), part -> transform(sequence(0, {l2} - 1), l -> filter(part, k -> (shiftright(k, 9) & ({l2} - 1)) = l))))"
+    return _let(keys, build)
 
 
-def difference(a: str, b: str) -> Column:
-    """struct<a, b>: how many digests only column ``a`` has and only column ``b`` has.
+def difference(a: Column, b: Column) -> Column:
+    """array<struct<x, g, n>>: the digests that only one of two sketches holds, n = 1 for those of ``a`` and -1 for those of ``b``.
 
-    A lane whose largest sketch can't be peeled (equal hashes) is compared digest by digest, so the numbers are exact
-    but for a collision of 64-bit checks.
+    The sketches are subtracted at the larger one's size, for which the smaller one is peeled and put in again, and
+    what is left is peeled; after a failure both are put in again at twice the size, until it works.
     """
-    n = f"(size({a}) + size({b}))"
-    power = lambda x: f"cast(pow(2, least(9, cast(ceil(log2(greatest(1.0D, {x}))) as int))) as bigint)"
-    l1 = power(f"sqrt({n} / {LOAD}.0D)")
-    l2 = power(f"{n} / {LOAD}.0D / {l1}")
-    sizes = f"named_struct('l1', {l1}, 'l2', {l2})"
-    pairs = f"transform(array({sizes}), z -> arrays_zip({_lanes(a, 'z.l1', 'z.l2')} as a, {_lanes(b, 'z.l1', 'z.l2')} as b))[0]".replace(" as a,", ",").replace(" as b)", ")")
-    exact = "named_struct('a', size(array_except(z.`0`, z.`1`)), 'b', size(array_except(z.`1`, z.`0`)), 'ok', true)"
-    each = f"transform({pairs}, z -> transform(array({_peeled('z.`0`', 'z.`1`')}), d -> if(d.ok, d, {exact}))[0])"
-    return F.expr(f"aggregate({each}, named_struct('a', 0, 'b', 0), (s, d) -> named_struct('a', s.a + d.a, 'b', s.b + d.b))")
+    at = lambda s, w: F.when(s["w"] == w, s["cells"]).otherwise(_combined(_places(s["got"], w)))
+    less = lambda cells: F.transform(cells, lambda q: _cell(q["c"], q["x"], q["g"], -q["n"]))
+    return _let(F.greatest(a["w"], b["w"]), lambda w: _smallest(w, lambda v: _combined(F.concat(at(a, v), less(at(b, v))))))["got"]
 
 
-def likeness(a: str, b: str) -> Column:
-    """Share of the digests of both that both have (Dice), from the peeled difference: 1 for equal sets, none included, 0 for nothing in common."""
-    n = F.size(a) + F.size(b)
-    d = difference(a, b)
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.transform(F.array(d), lambda x: 1.0 - (x["a"] + x["b"]) / n.cast("double"))[0])
+def likeness(a: Column, b: Column) -> Column:
+    """Share of the paragraphs of both that both have (Dice), from the peeled difference of their sketches: 1 for equal ones and for two without any, 0 for nothing in common."""
+    n = F.size(a["got"]) + F.size(b["got"])
+    return F.when(n == 0, F.lit(1.0)).otherwise(1.0 - F.size(difference(a, b)).cast("double") / n.cast("double"))
 
 
-def fingerprint(keys: str) -> Column:
-    """The smallest sketch as a string: for each cell its XOR in hex, then the number of digests in all."""
-    cells = F.expr(f"transform({_cells(keys, str(CELLS))}, c -> lpad(hex(c.x), 16, '0'))")
-    return F.lower(F.concat(F.array_join(cells, ""), F.lit("-"), F.hex(F.size(keys).cast("long"))))
+def fingerprint(s: Column) -> Column:
+    """The whole sketch as a string: ``w``, then for each cell in use, in order, its number, XOR of digests, XOR of checks and count, all in hex: ``10:0,1f..,9a..,1;4,..``."""
+    cells = F.transform(s["cells"], lambda q: F.concat_ws(",", F.hex(q["c"]), F.hex(q["x"]), F.hex(q["g"]), F.hex(q["n"])))
+    return F.lower(F.concat_ws(":", F.hex(s["w"]), F.array_join(cells, ";")))
 
 
 def _bucket(k: Column, bounds: list[int]) -> Column:
@@ -96,7 +143,7 @@ def _bucket(k: Column, bounds: list[int]) -> Column:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, keys of each row and next_text, next_keys of the row that follows it by descending doc_id, the first after the last.
+    """doc_id, text, sketch of each row and next_text, next_sketch of the row that follows it by descending doc_id, the first after the last.
 
     Null doc_ids come last, rows of one doc_id by descending hash of their texts. Rows are dealt to ranges of doc_id
     (bounds: quantiles of all doc_ids, as many as 4 for each shuffle partition); the first row of a range also goes to
@@ -112,23 +159,26 @@ def with_next(docs: DataFrame) -> DataFrame:
     ring = Window.orderBy(F.desc("range"))
     before = firsts.select(F.coalesce(F.lag("range").over(ring), F.min("range").over(Window.partitionBy(F.lit(0)))).alias("to"), F.col("f.k").alias("k"), F.col("f.th").alias("th"))
     also = own.join(F.broadcast(before), ["k", "th"]).dropDuplicates(["to"]).select("doc_id", "k", "th", "text", F.col("to").alias("range"), F.lit(True).alias("guest"))
-    every = own.withColumn("guest", F.lit(False)).unionByName(also).repartition(n, "range").withColumn("keys", digests(F.col("text")))
+    every = own.withColumn("guest", F.lit(False)).unionByName(also).repartition(n, "range")
+    every = every.sortWithinPartitions("range", "guest", F.desc("k"), F.desc("th")).withColumn("sketch", sketch(digests(F.col("text"))))
     order = Window.partitionBy("range").orderBy("guest", F.desc("k"), F.desc("th"))
-    return every.withColumns({"next_text": F.lead("text").over(order), "next_keys": F.lead("keys").over(order)}).filter("not guest").select("doc_id", "text", "keys", "next_text", "next_keys")
+    return every.withColumns({"next_text": F.lead("text").over(order), "next_sketch": F.lead("sketch").over(order)}).filter("not guest").select("doc_id", "text", "sketch", "next_text", "next_sketch")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns for every document. Null and empty texts have no paragraph and the fingerprint ``4:``; likenesses are those of ``likeness``; ties of doc_id go by the hash of the text; other columns are not read."""
     rows = with_next(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)))
-    rows = rows.withColumn("edited_keys", digests(F.col("edited")))
+    rows = rows.withColumn("edited_sketch", F.explode(F.array(sketch(digests(F.col("edited"))))))  # a generator's output is made once
+    own, edited, after = (F.col(x) for x in ("sketch", "edited_sketch", "next_sketch"))
     return rows.select(
         "doc_id",
         n.cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprint("keys").alias("fingerprint"),
-        fingerprint("edited_keys").alias("edited_fingerprint"),
-        likeness("keys", "edited_keys").alias("near_edited"),
-        likeness("keys", "next_keys").alias("near_next"),
+        fingerprint(own).alias("fingerprint"),
+        fingerprint(edited).alias("edited_fingerprint"),
+        likeness(own, edited).alias("near_edited"),
+        likeness(own, after).alias("near_next"),
     )
