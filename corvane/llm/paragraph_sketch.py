@@ -4,8 +4,8 @@ A document's paragraphs (lines, cut after sentences, that have a word) have 64-b
 so each copy has its own. A sketch has three tables of ``w`` cells, ``w`` a power of two; a digest is in one cell of each.
 A cell holds the XOR of its digests, the XOR of their checks and their number; only cells in use are kept. Sketches of
 one ``w`` subtract cell by cell, and peeling takes out, round by round, the digests that are alone in a cell, until no
-cell is left. If cells are left, it is done again with twice the ``w``. A document's sketch is the smallest, from as many cells a
-table as it has paragraphs, that can be peeled by itself, so its digests can always be recovered from it, and with them
+cell is left. If cells are left, it is done again with twice the ``w``. A document's sketch is the smallest, from twice as many cells
+a table as it has paragraphs, that can be peeled by itself, so its digests can always be recovered from it, and with them
 it can be enlarged. Its string, the fingerprint, holds all of it: any two fingerprints can be subtracted and peeled later.
 """
 
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from . import _common as c
 
 LEAST, WIDEST, ROUNDS = 4, 1 << 21, 48
-#: Cells (number 3 * place + table, XOR of digests, XOR of checks, count), and digests with their checks and sides.
-CELLS, KEYS = "array<struct<c:bigint,x:bigint,g:bigint,n:bigint>>", "array<struct<x:bigint,g:bigint,n:bigint>>"
+#: Cells: number 3 * place + table, XOR of digests, XOR of checks, count.
+CELLS, KEYS = "array<struct<c:bigint,x:bigint,g:bigint,n:bigint>>", "array<bigint>"
 
 
 def _let(value: Column, body) -> Column:
@@ -54,46 +54,58 @@ def _cell(cell: Column, x: Column, g: Column, n: Column) -> Column:
 
 
 def _combined(cells: Column) -> Column:
-    """Cells of one number become one; those with nothing in them go. What adds, subtracts, folds and peels."""
+    """Cells of one number become one; those with nothing in them go. What adds, subtracts and peels.
 
-    def added(e: Column) -> Column:
-        def one(s: Column, k: Column, r: Column) -> Column:
-            first, n = F.get(e, s), F.coalesce(F.get(r, k + 1), F.size(e)) - s
-            rest = F.aggregate(F.slice(e, s + 2, n - 1), first, lambda a, q: _cell(a["c"], a["x"].bitwiseXOR(q["x"]), a["g"].bitwiseXOR(q["g"]), a["n"] + q["n"]))
-            return F.when(n == 1, first).otherwise(rest)
+    What is sorted is one long for each cell, its number and its place in the array.
+    """
+    place = lambda k: k.bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    plus = lambda a, q: _cell(a["c"], a["x"].bitwiseXOR(q["x"]), a["g"].bitwiseXOR(q["g"]), a["n"] + q["n"])
+
+    def added(all_: Column, k: Column) -> Column:
+        def one(s: Column, i: Column, r: Column) -> Column:
+            first, n = F.get(all_, place(F.get(k, s))), F.coalesce(F.get(r, i + 1), F.size(k)) - s
+            return F.when(n == 1, first).otherwise(F.aggregate(F.slice(k, s + 2, n - 1), first, lambda a, q: plus(a, F.get(all_, place(q)))))
 
-        return _let(_runs(e, lambda x: x["c"]), lambda r: F.transform(r, lambda s, k: one(s, k, r)))
+        return _let(_runs(k, lambda x: F.shiftright(x, 32)), lambda r: F.transform(r, lambda s, i: one(s, i, r)))
 
-    return F.filter(_let(F.sort_array(cells), added), lambda q: (q["n"] != 0) | (q["x"] != 0) | (q["g"] != 0))
+    order = lambda all_: F.sort_array(F.transform(all_, lambda q, i: F.shiftleft(q["c"], 32).bitwiseOR(i.cast("long"))))
+    return F.filter(_let(cells, lambda all_: _let(order(all_), lambda k: added(all_, k))), lambda q: (q["n"] != 0) | (q["x"] != 0) | (q["g"] != 0))
 
 
-def _places(keys: Column, w: Column, sign: int = 1) -> Column:
-    """The cells of each of ``keys`` (x, g, n) alone, ``n`` times ``sign``."""
+def _places(keys: Column, w: Column, n: int = 1) -> Column:
+    """The cells of each of ``keys`` (digests) alone, counted ``n``."""
     at = lambda k, j: F.shiftright(k["g"], 21 * j).bitwiseAND(w - 1) * 3 + j
-    return F.flatten(F.transform(keys, lambda k: F.array(*[_cell(at(k, j), k["x"], k["g"], k["n"] * sign) for j in range(3)])))
+    checked = F.transform(keys, lambda x: F.struct(x.alias("x"), F.xxhash64(x).alias("g")))
+    return F.flatten(F.transform(checked, lambda k: F.array(*[_cell(at(k, j), k["x"], k["g"], _long(n)) for j in range(3)])))
 
 
 def _peel(cells: Column, w: Column) -> Column:
-    """struct<cells, got, open>: what is left of ``cells`` and the digests that came out, with n = 1 or -1 for the side they are from."""
-    pure = lambda s: F.transform(F.filter(s["cells"], lambda q: (F.abs(q["n"]) == 1) & (q["g"] == F.xxhash64(q["x"]))), lambda q: F.struct(q["x"].alias("x"), q["g"].alias("g"), q["n"].alias("n")))
-    state = lambda cells, got, more: F.struct(cells.alias("cells"), got.alias("got"), more.alias("open"))
+    """struct<cells, a, b, open>: what is left of ``cells`` and the digests that came out, with the count 1 (a) or -1 (b)."""
+    pure = lambda s: F.filter(s["cells"], lambda q: (F.abs(q["n"]) == 1) & (q["g"] == F.xxhash64(q["x"])))
+    of = lambda p, n: F.array_distinct(F.transform(F.filter(p, lambda q: q["n"] == n), lambda q: q["x"]))
+    state = lambda cells, a, b, more: F.struct(cells.alias("cells"), a.alias("a"), b.alias("b"), more.alias("open"))
 
     def taken(s: Column, p: Column) -> Column:
-        once = F.filter(p, lambda k, i: (i == 0) | (k["x"] != F.get(p, i - 1)["x"]))
-        return _let(once, lambda o: state(_combined(F.concat(s["cells"], _places(o, w, -1))), F.concat(s["got"], o), F.size(o) > 0))
+        less = F.concat(s["cells"], _places(p["a"], w, -1), _places(p["b"], w, 1))
+        return state(_combined(less), F.concat(s["a"], p["a"]), F.concat(s["b"], p["b"]), F.lit(True))
+
+    def round_(s: Column, p: Column) -> Column:
+        more = _let(F.struct(of(p, 1).alias("a"), of(p, -1).alias("b")), lambda sides: taken(s, sides))
+        return F.when(F.size(p) > 0, more).otherwise(state(s["cells"], s["a"], s["b"], F.lit(False)))
 
-    step = lambda s, _: F.when(s["open"] & (F.size(s["cells"]) > 0), _let(F.sort_array(pure(s)), lambda p: taken(s, p))).otherwise(s)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), state(cells, F.array().cast(KEYS), F.lit(True)), step)
+    step = lambda s, _: F.when(s["open"] & (F.size(s["cells"]) > 0), _let(pure(s), lambda p: round_(s, p))).otherwise(s)
+    none = F.array().cast(KEYS)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), state(cells, none, none, F.lit(True)), step)
 
 
 def _smallest(w: Column, sketched) -> Column:
-    """struct<w, cells, got>: what peeling takes from ``sketched(w)``, cells, at the first of w, 2 w, 4 w and so on where it leaves none."""
-    state = lambda w, cells, got, ok: F.struct(w.alias("w"), cells.alias("cells"), got.alias("got"), ok.alias("ok"))
-    none = state(_long(0), F.array().cast(CELLS), F.array().cast(KEYS), F.lit(False))
-    once = lambda v: _let(sketched(v), lambda cells: _let(_peel(cells, v), lambda p: state(v, cells, p["got"], F.size(p["cells"]) == 0)))
+    """struct<w, cells, a, b>: what peeling takes from ``sketched(w)``, cells, at the first of w, 2 w, 4 w and so on where it leaves none."""
+    state = lambda w, cells, a, b, ok: F.struct(w.alias("w"), cells.alias("cells"), a.alias("a"), b.alias("b"), ok.alias("ok"))
+    none = state(_long(0), F.array().cast(CELLS), F.array().cast(KEYS), F.array().cast(KEYS), F.lit(False))
+    once = lambda v: _let(sketched(v), lambda cells: _let(_peel(cells, v), lambda p: state(v, cells, p["a"], p["b"], F.size(p["cells"]) == 0)))
     step = lambda s, i: F.when(s["ok"], s).otherwise(_let(F.least(F.call_function("shiftleft", w, i), _long(WIDEST)), once))
-    end = lambda s: F.when(s["ok"], F.struct(s["w"], s["cells"], s["got"])).otherwise(F.raise_error(F.lit("a sketch of the largest size can't be peeled")).cast(f"struct<w:bigint,cells:{CELLS},got:{KEYS}>"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(WIDEST.bit_length())), none, step, end)
+    fails = F.raise_error(F.lit("a sketch of the largest size can't be peeled")).cast(f"struct<w:bigint,cells:{CELLS},a:{KEYS},b:{KEYS}>")
+    return F.aggregate(F.sequence(F.lit(0), F.lit(WIDEST.bit_length())), none, step, lambda s: F.when(s["ok"], F.struct(s["w"], s["cells"], s["a"], s["b"])).otherwise(fails))
 
 
 def sketch(keys: Column) -> Column:
@@ -103,28 +115,29 @@ def sketch(keys: Column) -> Column:
     """
 
     def build(k: Column) -> Column:
-        least = F.call_function("shiftleft", _long(1), F.length(F.bin(F.greatest(F.size(k), F.lit(LEAST)) - 1)))
-        with_checks = F.transform(k, lambda x: F.struct(x.alias("x"), F.xxhash64(x).alias("g"), _long(1).alias("n")))
-        return _let(least, lambda w: _let(with_checks, lambda g: _smallest(w, lambda v: _combined(_places(g, v)))))
+        least = F.call_function("shiftleft", _long(1), F.length(F.bin(F.greatest(2 * F.size(k), F.lit(LEAST)) - 1)))
+        return _let(least, lambda w: _let(_smallest(w, lambda v: _combined(_places(k, v))), lambda s: F.struct(s["w"].alias("w"), s["cells"].alias("cells"), s["a"].alias("got"))))
 
     return _let(keys, build)
 
 
 def difference(a: Column, b: Column) -> Column:
-    """array<struct<x, g, n>>: the digests that only one of two sketches holds, n = 1 for those of ``a`` and -1 for those of ``b``.
+    """struct<a, b>: the digests that only the sketch ``a`` holds and those that only ``b`` holds.
 
     The sketches are subtracted at the larger one's size, for which the smaller one is peeled and put in again, and
     what is left is peeled; after a failure both are put in again at twice the size, until it works.
     """
     at = lambda s, w: F.when(s["w"] == w, s["cells"]).otherwise(_combined(_places(s["got"], w)))
     less = lambda cells: F.transform(cells, lambda q: _cell(q["c"], q["x"], q["g"], -q["n"]))
-    return _let(F.greatest(a["w"], b["w"]), lambda w: _smallest(w, lambda v: _combined(F.concat(at(a, v), less(at(b, v))))))["got"]
+    found = _let(F.greatest(a["w"], b["w"]), lambda w: _smallest(w, lambda v: _combined(F.concat(at(a, v), less(at(b, v))))))
+    return _let(found, lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b")))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of the paragraphs of both that both have (Dice), from the peeled difference of their sketches: 1 for equal ones and for two without any, 0 for nothing in common."""
     n = F.size(a["got"]) + F.size(b["got"])
-    return F.when(n == 0, F.lit(1.0)).otherwise(1.0 - F.size(difference(a, b)).cast("double") / n.cast("double"))
+    gone = _let(difference(a, b), lambda d: F.size(d["a"]) + F.size(d["b"]))
+    return F.when(n == 0, F.lit(1.0)).otherwise(1.0 - gone.cast("double") / n.cast("double"))
 
 
 def fingerprint(s: Column) -> Column:
