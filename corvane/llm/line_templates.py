@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from . import _common as c
 
-DEPTH, SIMILAR, MIN_DOCS = 3, 0.8, 5
+DEPTH, SIMILAR, MIN_DOCS, SALTS = 3, 0.8, 5, 16
 
 
 def templates(lines: list[list[str]], similar: float = SIMILAR) -> list[tuple[str, ...]]:
@@ -131,16 +131,23 @@ def _merged(distinct: DataFrame, similar: float, depth: int) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, similar: float = SIMILAR) -> DataFrame:
-    """(d, h, places): the places of lines to drop, of each distinct (doc_id or the largest long, hash of the text) that has some."""
+    """(d, h, places): the places of lines to drop, of each distinct (doc_id or the largest long, hash of the text) that has some.
+
+    Lines are parsed once. Leaves of fewer than ``min_docs`` lines can't have a recurring template and are left out by a
+    join on leaf and a salt, so the lines of one leaf, or one very common line, are dealt to many tasks; equal lines are
+    put together before a leaf's different lines meet. Rows of a common template are split by adaptive execution.
+    """
     spark = docs.sparkSession
-    lines = _lines(docs, depth)
-    leaves = c.staged(lines.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") > 1), "line-leaves").filter(F.col("n") >= min_docs).select("leaf").hint("merge")  # one plan at every size
+    lines = c.staged(_lines(docs, depth), "line-places").withColumn("salt", F.pmod(F.xxhash64("d", "h"), F.lit(SALTS)).cast("int"))
+    leaves = c.staged(lines.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("leaf"), "line-leaves")
+    leaves = leaves.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS))))).hint("merge")  # one plan at every size
     with _filtered_joins(spark):
-        distinct = lines.select("leaf", "line", "masked").join(leaves, "leaf").groupBy("leaf", "line", "masked").agg(F.count("*").alias("n"))
+        distinct = lines.select("leaf", "salt", "line", "masked").join(leaves, ["leaf", "salt"]).groupBy("leaf", "line", "masked").agg(F.count("*").alias("n"))
         merged = c.staged(_merged(c.staged(distinct, "line-texts"), similar, depth), "line-merges")
-        narrow = lines.select("d", "h", "p", "leaf", "line").join(leaves, "leaf").join(merged, ["leaf", "line"], "left")
-        narrow = c.staged(narrow.select("d", "h", "p", "leaf", F.coalesce("template", "line").alias("template")), "line-places")
-    drop = narrow.groupBy("leaf", "template", "h").count().groupBy("leaf", "template").agg(F.count("*").alias("n_texts")).filter(F.col("n_texts") >= min_docs).select("leaf", "template")
+        narrow = lines.select("d", "h", "p", "leaf", "salt", "line").join(leaves, ["leaf", "salt"]).join(merged, ["leaf", "line"], "left")
+        narrow = c.staged(narrow.select("d", "h", "p", "leaf", F.coalesce("template", "line").alias("template")), "line-templates")
+    texts = narrow.groupBy("leaf", "template", "h").agg(F.lit(1).alias("one"))
+    drop = texts.groupBy("leaf", "template").agg(F.count("*").alias("n_texts")).filter(F.col("n_texts") >= min_docs).select("leaf", "template")
     return narrow.join(drop, ["leaf", "template"]).groupBy("d", "h").agg(F.collect_set("p").alias("places"))
 
 

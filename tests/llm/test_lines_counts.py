@@ -1,7 +1,7 @@
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 
@@ -14,43 +14,39 @@ def masked(line):
     return [re.sub(r"^.*[0-9].*$", "<*>", w, flags=re.S) for w in re.split("[ \t-\r]+", line) if w]
 
 
+def greedy(lines):
+    """The template of each line of a leaf, by the rule as it is written: the first of the templates that agree most, if at 80 % of the places or more."""
+    found, of = [], []
+    for m in lines:
+        same = [sum(x == y for x, y in zip(g, m)) for g in found]
+        k = same.index(max(same)) if same and 5 * max(same) >= 4 * len(m) else len(found)
+        found[k:] = [tuple(x if x == y else "<*>" for x, y in zip(found[k], m))] + found[k + 1 :] if k < len(found) else [m]
+        of.append(k)
+    return [found[k] for k in of]
+
+
 def brute(rows):
     """Places to drop of each row."""
-    seen = {(i, t or "") for i, t in rows}
-    lines, leaves = [], defaultdict(int)
-    for d in seen:
-        parts = [(p, m) for p, m in enumerate(map(masked, d[1].split("\n"))) if m]
-        paths = [(len(m), *m[:3]) for _, m in parts]
-        for k, (p, m) in enumerate(parts):
-            lines.append((d, p, tuple(m), paths[k], (paths[k - 1] if k else None, paths[k + 1] if k + 1 < len(paths) else None)))
-    for i, t in rows:
-        for m in map(masked, (t or "").split("\n")):
+    lines, n, by = [], Counter(), defaultdict(set)
+    for _, t in rows:
+        for p, m in enumerate(map(tuple, map(masked, (t or "").split("\n")))):
             if m:
-                leaves[(len(m), *m[:3])] += 1
-    n = defaultdict(int)
-    for i, t in rows:
-        for m in map(masked, (t or "").split("\n")):
-            n[tuple(m)] += 1
+                lines.append((t, p, m))
+                n[m] += 1
+                by[(len(m), *m[:3])].add(m)
     template = {}
-    by = defaultdict(set)
-    for x in lines:
-        if leaves[x[3]] >= 5:
-            by[x[3]].add(x[2])
-    for leaf, some in by.items():
+    for some in by.values():
         order = sorted(some, key=lambda m: (-n[m], " ".join(m).encode()))
-        for m, t in zip(order, lt.templates([list(m) for m in order])):
-            template[m] = t
-    docs, around = defaultdict(set), defaultdict(set)
-    for d, p, m, leaf, a in lines:
+        if sum(n[m] for m in some) >= 5:
+            template.update(zip(order, greedy(order)))
+    texts, gone = defaultdict(set), defaultdict(set)
+    for t, _, m in lines:
         if m in template:
-            docs[leaf, template[m]].add(d)
-            around[leaf, template[m]].add(a)
-    gone = defaultdict(set)
-    for d, p, m, leaf, a in lines:
-        key = leaf, template.get(m)
-        if m in template and len(docs[key]) >= 5 and len(around[key]) >= 0.5 * len(docs[key]):
-            gone[d].add(p)
-    return [(i, t, gone[i, t or ""]) for i, t in rows]
+            texts[len(m), m[:3], template[m]].add(t)
+    for t, p, m in lines:
+        if m in template and len(texts[len(m), m[:3], template[m]]) >= 5:
+            gone[t].add(p)
+    return [(i, t, gone[t]) for i, t in rows]
 
 
 def test_templates():
