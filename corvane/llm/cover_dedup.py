@@ -117,7 +117,7 @@ def _shared(pairs: DataFrame) -> DataFrame:
 
 
 def _later(windows: DataFrame) -> DataFrame:
-    """(d, p) of windows (h1, h2, d, p) that also start in a document with a smaller d."""
+    """(d, th, p) of windows (h1, h2, d, th, p) that also start in a document with a smaller d."""
 
     def run(batches):
         import pyarrow as pa
@@ -131,10 +131,10 @@ def _later(windows: DataFrame) -> DataFrame:
             later = d > least
             last = a[-1], b[-1], least[-1]
             if later.any():
-                yield pa.RecordBatch.from_arrays([pa.array(d[later]), batch.column("p").filter(pa.array(later))], ["d", "p"])
+                yield pa.RecordBatch.from_arrays([pa.array(d[later]), *(batch.column(x).filter(pa.array(later)) for x in ("th", "p"))], ["d", "th", "p"])
 
     n = c.partitions(windows.sparkSession)
-    return windows.repartition(n, "h1", "h2").sortWithinPartitions("h1", "h2", "d").mapInArrow(run, "d long, p long")
+    return windows.repartition(n, "h1", "h2").sortWithinPartitions("h1", "h2", "d").mapInArrow(run, "d long, th long, p long")
 
 
 def _anchors(facts: DataFrame) -> DataFrame:
@@ -161,7 +161,11 @@ def _anchors(facts: DataFrame) -> DataFrame:
 
 
 def _windows(candidates: DataFrame) -> DataFrame:
-    """Windows (h1, h2, d, p) of rows (d, v, text, anchors) with at least one anchor among the row's shared ``anchors``: a match has one at the same place in both."""
+    """Windows (h1, h2, d, th, p) of rows (d, th, text, anchors) with at least one anchor among the row's shared ``anchors``: a match has one at the same place in both.
+
+    ``p`` is a window's first word and, in the upper half, how many windows from there on are equal to it, less one: a
+    word repeated many times is one row.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -185,16 +189,24 @@ def _windows(candidates: DataFrame) -> DataFrame:
                 s = w.starts[doc] + p
                 good = before[s + PERIOD] > before[s]
                 doc, p, s = doc[good], p[good], s[good]
-                d, v = (part.column(x).to_numpy(zero_copy_only=False) for x in ("d", "v"))
+                if not len(s):
+                    continue
+                # two windows, one a word after the other, are equal if all their words are
+                changes = np.concatenate(([0], np.cumsum(w.hashes[1:] != w.hashes[:-1])))
+                first = np.concatenate(([True], (s[1:] != s[:-1] + 1) | (doc[1:] != doc[:-1]) | (changes[s[1:] + WINDOW - 1] != changes[s[:-1]])))
+                starts = np.flatnonzero(first)
+                more = np.diff(np.concatenate((starts, [len(s)]))) - 1
+                doc, p, s = doc[starts], p[starts] | more << 32, s[starts]
+                d, th = (part.column(x).to_numpy(zero_copy_only=False) for x in ("d", "th"))
                 for k in range(0, len(s), 200_000):
                     x = slice(k, k + 200_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(w.runs(s[x], WINDOW).view("i8")), pa.array(w.runs(s[x], WINDOW, 1).view("i8")), pa.array(d[doc[x]]), pa.array(v[doc[x]].astype("i8") << 32 | p[x])], ["h1", "h2", "d", "p"])
+                    yield pa.RecordBatch.from_arrays([pa.array(w.runs(s[x], WINDOW).view("i8")), pa.array(w.runs(s[x], WINDOW, 1).view("i8")), pa.array(d[doc[x]]), pa.array(th[doc[x]]), pa.array(p[x])], ["h1", "h2", "d", "th", "p"])
 
-    return candidates.mapInArrow(run, "h1 long, h2 long, d long, p long")
+    return candidates.mapInArrow(run, "h1 long, h2 long, d long, th long, p long")
 
 
 def _cut(texts: DataFrame) -> DataFrame:
-    """d, th, n_removed, kept of rows (d, th, text, places): ``places`` are starts of removed windows."""
+    """d, th, n_removed, kept of rows (d, th, text, places): ``places`` are starts of removed windows, and in the upper half how many more follow."""
 
     def run(batches):
         import pyarrow as pa
@@ -205,8 +217,9 @@ def _cut(texts: DataFrame) -> DataFrame:
                 words = t.split()
                 edge = np.zeros(len(words) + 1, "i4")
                 places = np.array(places, "i8")
-                np.add.at(edge, places, 1)
-                np.add.at(edge, places + WINDOW, -1)
+                first = places & 0xFFFFFFFF
+                np.add.at(edge, first, 1)
+                np.add.at(edge, first + (places >> 32) + WINDOW, -1)
                 keep = np.cumsum(edge[:-1]) == 0
                 got.append((len(words) - int(keep.sum()), b" ".join([words[i] for i in np.flatnonzero(keep).tolist()]).decode()))
             yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("th"), pa.array([g[0] for g in got], "int64"), pa.array([g[1] for g in got], "string")], ["d", "th", "n_removed", "kept"])
@@ -224,16 +237,15 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     facts = _facts(docs)
     first_pass = c.staged(_anchors(facts), "cover-anchors")
     rows = first_pass.drop("anchors")
-    texts = rows.groupBy("th", "th2").agg(F.min("d").alias("least"))
-    from pyspark.sql import Window
-
-    owners = c.staged(texts.withColumn("v", F.row_number().over(Window.partitionBy("least").orderBy("th", "th2")) - 1), "cover-texts")
-    shared = _shared(first_pass.select("th", F.explode("anchors").alias("h")))
-    lists = shared.groupBy("th").agg(F.collect_set("h").alias("anchors")).join(owners, "th").select(F.col("least").alias("d"), "th", "th2", "v", "anchors")
+    owners = c.staged(rows.groupBy("th", "th2").agg(F.min("d").alias("least")), "cover-texts")
+    # copies of a text have its anchors too: each text sends its own once
+    once = first_pass.filter(F.size("anchors") > 0).select("th", "th2", "anchors").dropDuplicates(["th", "th2"])
+    shared = _shared(once.select("th", F.explode("anchors").alias("h")))
+    lists = shared.groupBy("th").agg(F.collect_set("h").alias("anchors")).join(owners, "th").select(F.col("least").alias("d"), "th", "th2", "anchors")
     candidates = facts.select("d", "th", "th2", "text").join(lists, ["d", "th", "th2"]).dropDuplicates(["d", "th", "th2"])
-    later = _later(_windows(candidates.select("d", "v", "text", "anchors")))
-    places = later.groupBy("d", F.shiftright("p", 32).cast("int").alias("v")).agg(F.collect_list(F.col("p").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("places"))
-    where = c.staged(places, "cover-places").join(owners.withColumnRenamed("least", "d"), ["d", "v"]).select("d", "th", "th2", "places")
+    later = _later(_windows(candidates.select("d", "th", "text", "anchors")))
+    places = c.staged(later.groupBy("d", "th").agg(F.collect_list("p").alias("places")), "cover-places")
+    where = places.join(owners.withColumnRenamed("least", "d"), ["d", "th"]).select("d", "th", "th2", "places")
     cut = _cut(facts.select("d", "th", "th2", "text").join(where, ["d", "th", "th2"]).dropDuplicates(["d", "th", "th2"]).select("d", "th", "text", "places"))
     cut = cut.select("d", "th", "n_removed", F.sha2("kept", 256).alias("cut_sha"), *(["kept"] if with_text else []))
     known = rows.join(owners.select("th", "th2", "least"), ["th", "th2"]).join(cut, ["d", "th"], "left")
@@ -253,4 +265,5 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns for every document; nulls, ties and repeated rows as in ``remove_repeats``; other columns are not read."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
