@@ -34,40 +34,39 @@ def jump_shard(key: Column, shards: int) -> Column:
     return F.when(key.isNotNull(), F.coalesce(done, F.raise_error(F.lit("jump hash did not end")).cast("long"))).cast("int")
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """``docs`` with __size, __crc32, __shard, __slot and __grown_shard (with one shard more).
+NAMES = ("size", "text_crc32", "shard", "slot", "grown_shard")
+
+
+def shard_documents(docs: DataFrame, shards: int = SHARDS) -> tuple[DataFrame, list[str]]:
+    """``docs`` with its size, text_crc32, shard, slot and grown_shard (with one shard more), and the names of these five columns, which differ from those of ``docs``.
 
     A document's shard depends on doc_id and the number of shards alone, so rows of one doc_id are in one shard; a null
-    doc_id counts as 0. Null texts have size 1 and crc32 0. Slots count from 0 in each shard without a gap: a shard is
-    divided by a hash of doc_id into as many parts as there are shuffle partitions, numbered within and one after the
-    other; no task holds a shard. Part sizes come from a scan of doc_id alone; their table (shards * partitions rows) is broadcast.
+    doc_id counts as 0. Null texts have size 1 and crc32 0. Slots count from 0 in each shard without a gap, for equal
+    rows in any order: a shard is divided by a hash of doc_id and text into as many parts as there are shuffle
+    partitions, numbered within and one after the other, so no task holds a shard, nor all null doc_ids. Part sizes come
+    from a scan before; their table (shards * partitions rows) is broadcast.
     """
     from pyspark.sql import Window
 
+    size, crc, shard, slot, grown, key, part, before, hash_ = names = c.fresh(docs, *NAMES, "key", "part", "before", "hash")
     n = c.partitions(docs.sparkSession)
-    key = F.coalesce(c.col("doc_id").cast("long"), F.lit(0).cast("long"))
-    part = F.pmod(F.xxhash64(key, F.lit("slot")), F.lit(n)).cast("int")
-    own = docs.select(*c.cols(docs), key.alias("__key"), jump_shard(key, shards).alias("__shard"), part.alias("__part"))
-    sizes = own.groupBy("__shard", "__part").agg(F.count("*").alias("__n"))
-    before = sizes.select("__shard", "__part", (F.sum("__n").over(Window.partitionBy("__shard").orderBy("__part")) - F.col("__n")).alias("__before"))
-    full = own.withColumns({"__size": (F.octet_length(c.text_or_empty()) + 1).cast("long"), "__crc32": F.crc32(F.encode(c.text_or_empty(), "UTF-8")), "__grown_shard": jump_shard(F.col("__key"), shards + 1)})
-    return full.join(F.broadcast(before), ["__shard", "__part"])
-
-
-def with_slots(sharded: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("__shard", "__part").orderBy("__key", "__crc32", "__size")
-    return sharded.withColumn("__slot", F.col("__before") + F.row_number().over(order) - 1)
+    t = c.text_or_empty()
+    rows = docs.withColumns({key: F.coalesce(c.col("doc_id").cast("long"), F.lit(0).cast("long")), hash_: F.xxhash64(t)})
+    rows = rows.withColumns({shard: jump_shard(F.col(key), shards), part: F.pmod(F.xxhash64(key, hash_), F.lit(n)).cast("int")})
+    sizes = rows.groupBy(shard, part).agg(F.count("*").alias("n"))
+    starts = sizes.select(shard, part, (F.sum("n").over(Window.partitionBy(shard).orderBy(part)) - F.col("n")).alias(before))
+    full = rows.withColumns({size: (F.octet_length(t) + 1).cast("long"), crc: F.crc32(F.encode(t, "UTF-8")), grown: jump_shard(F.col(key), shards + 1)}).join(F.broadcast(starts), [shard, part])
+    order = Window.partitionBy(shard, part).orderBy(key, hash_, size)
+    return full.withColumn(slot, F.col(before) + F.row_number().over(order) - 1).select(*c.cols(docs), *names[:5]), names[:5]
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Write the rows of ``docs`` into ``path``, a folder ``__shard=k`` for each shard, in as many files as tasks."""
-    own = with_slots(shard_documents(docs, shards))
-    own.select(*c.cols(docs), "__shard", "__slot").write.mode("overwrite").partitionBy("__shard").parquet(path)
+    """Write the rows of ``docs`` and their slots into ``path``, a folder ``shard=k`` (or the like, if there is such a column) for each shard, in as many files as tasks."""
+    rows, (_, _, shard, slot, _) = shard_documents(docs, shards)
+    rows.select(*c.cols(docs), shard, slot).write.mode("overwrite").partitionBy(shard).parquet(path)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    sharded = shard_documents(docs).select("doc_id", "__key", "__shard", "__part", "__before", "__size", "__crc32", "__grown_shard")
-    return with_slots(sharded).select("doc_id", F.col("__size").alias("size"), F.col("__crc32").alias("text_crc32"), F.lit("key").alias("law"), F.col("__shard").alias("shard"), F.col("__slot").alias("slot"), F.col("__grown_shard").alias("grown_shard"))
+    """The contract's columns for every document, by the law ``key``; nulls and repeated rows as in ``shard_documents``; an empty table gives no rows."""
+    rows, names = shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return rows.select("doc_id", *names[:2], F.lit("key").alias("law"), *names[2:])

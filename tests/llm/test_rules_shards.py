@@ -3,6 +3,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from corvane.llm import jump_shards as js
 from corvane.llm import rule_ledger as rl
@@ -76,17 +77,31 @@ def test_jump_shard_is_the_published_one(spark):
 
 def test_sharding(spark, sf_dir, tmp_path):
     rows = [(7, "a", 1), (7, "a", 1), (7, None, 2), (None, "b", 3), (None, "", 4)] + [(i, "é" * (i % 50), 0) for i in range(1000, 1300)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, slot int")
-    got = js.with_slots(js.shard_documents(df)).collect()
+    rows += [(None, f"text {i}", 5) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, slot int").withColumn("__shard", F.col("slot"))
+    out, (size, crc, shard, slot, grown) = js.shard_documents(df)
+    assert out.columns[:4] == df.columns and slot == "slot_" and shard == "shard"
+    got = out.collect()
     assert len(got) == len(rows)
     for r in got:
         b = (r.text or "").encode()
-        assert (r["__size"], r["__crc32"]) == (len(b) + 1, zlib.crc32(b))
-        assert r["__shard"] == lamping_veach(r.doc_id or 0, 8) and r["__grown_shard"] in (r["__shard"], 8)
+        assert (r[size], r[crc]) == (len(b) + 1, zlib.crc32(b))
+        assert r[shard] == lamping_veach(r.doc_id or 0, 8) and r[grown] in (r[shard], 8) and r[grown] == lamping_veach(r.doc_id or 0, 9)
     for s in range(8):
-        mine = sorted(r["__slot"] for r in got if r["__shard"] == s)
+        mine = sorted(r[slot] for r in got if r[shard] == s)
         assert mine == list(range(len(mine)))
     js.write_shards(df, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == len(rows)
-    assert js.with_slots(js.shard_documents(df.limit(0))).count() == 0
-    assert js.op3(spark, sf_dir).columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    assert js.shard_documents(df.limit(0))[0].count() == 0
+
+
+def test_shard_query(spark, sf_dir):
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = js.op3(spark, sf_dir)
+    assert got.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    rows = got.collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        b = texts[r.doc_id]
+        assert tuple(r)[1:5] == (len(b) + 1, zlib.crc32(b), "key", lamping_veach(r.doc_id, 8)) and r.grown_shard == lamping_veach(r.doc_id, 9)
+    assert all(sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows))) for s in range(8))
