@@ -17,6 +17,7 @@ QUERIES = {
     "op8_paragraph_sketch": paragraph_sketch.op8,
     "op9_slot_mixing": slot_mixing.op9,
     "op10_cover_dedup": cover_dedup.op10,
+    "rollup_words_bytes": count_rollup.rollup_words_bytes,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE: dict[str, str] = {"op2_rule_ledger": rule_ledger.OP2_SQL, "op5_count_rollup": count_rollup.OP5_SQL}
+ORACLE: dict[str, str] = {"op2_rule_ledger": rule_ledger.OP2_SQL, "rollup_words_bytes": count_rollup.WORDS_BYTES_SQL}

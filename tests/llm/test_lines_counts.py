@@ -4,6 +4,8 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
+import pytest
+from tokenizers import Tokenizer
 
 from corvane.llm import _common as c
 from corvane.llm import count_rollup as cr
@@ -100,11 +102,40 @@ def test_rollup(spark, tmp_path):
     assert state() == sorted([("b", "fr", "v", 1, 6), (None, "en", "v", 1, 2), ("a", "en", "w", 1, 50)], key=str)
     assert not r.commit(1, first) and r.commit(2, change([])) and r.commit(3, change([(2, "v", "a", "en", 3)]))
     assert ("a", "en", "v", 1, 3) in state() and r.batches() == [0, 1, 2, 3]
+    with pytest.raises(ValueError, match="comes after"):
+        r2 = cr.Rollup(spark, f"file://{tmp_path}/late")
+        r2.commit(1, first)
+        r2.commit(0, first)
     docs = spark.createDataFrame([(1, "a", "en", "Hello, there"), (2, "a", "en", None)], "doc_id long, source string, lang string, text string")
-    assert [x.n_tokens for x in cr.bpe_counts(docs, c.public_vocabulary(), "bpe").orderBy("doc_id").collect()] == [3, 0]
+    assert [x.n for x in cr.with_bpe_counts(docs, c.public_vocabulary(), "n").orderBy("doc_id").collect()] == [3, 0]
+
+
+def test_compaction_changes_no_totals(spark, tmp_path):
+    change = lambda rows: spark.createDataFrame(rows, "doc_id long, version string, source string, lang string, n_tokens long")
+    plain, small = cr.Rollup(spark, f"file://{tmp_path}/plain"), cr.Rollup(spark, f"file://{tmp_path}/small")
+    rng = random.Random(3)
+    for k in range(5):
+        rows = change([(rng.randrange(6), "v", rng.choice("ab"), "en", rng.choice([None, 1, 2, 3])) for _ in range(4)])
+        assert plain.commit(k, rows) and small.commit(k, rows)
+        small.compact()
+        assert not small.commit(k, rows)
+        assert sorted(map(str, plain.totals().collect())) == sorted(map(str, small.totals().collect()))
+    assert small._whole("base", "upto") == [4] and small._whole("ledger", "batch") == []
 
 
 def test_rollup_query(spark, sf_dir):
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{sf_dir}/documents.parquet'")
-    assert sorted(map(tuple, cr.op5(spark, sf_dir).collect())) == sorted(con.sql(cr.OP5_SQL).fetchall())
+    want = con.sql(cr.WORDS_BYTES_SQL).fetchall()
+    assert sorted(map(tuple, cr.rollup_words_bytes(spark, sf_dir).collect())) == sorted(want)
+    tokenizer, first = Tokenizer.from_file(c.public_vocabulary()), {}
+    docs = con.sql("select doc_id, source, lang, coalesce(text, '') from documents order by doc_id").fetchall()
+    for d in docs:
+        first.setdefault(d[3], d[0])
+    n = defaultdict(lambda: [0, 0])
+    for i, source, lang, t in docs:
+        if first[t] == i:
+            n[source, lang][0] += 1
+            n[source, lang][1] += len(tokenizer.encode(t, add_special_tokens=False).ids)
+    want += [(s, g, "word_bpe_49k", *k) for (s, g), k in n.items()]
+    assert sorted(map(tuple, cr.op5(spark, sf_dir).collect())) == sorted(want)
