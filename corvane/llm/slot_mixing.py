@@ -77,7 +77,7 @@ def _schedule(sources: DataFrame, block: int, n: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = REPEATS, block: int = BLOCK, size: Column | None = None) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text, source): doc_id, source, size, source_size, target, taken, first_slot and h, a hash of the row.
+    """Per row of ``docs`` (doc_id, text, source): doc_id, source, size, source_size, target, taken, first_slot and h and h2, hashes of the row.
 
     ``size`` is a document's tokens (default: words). A source takes its target, rounded, to the word; a row is taken as
     often as its source is gone through, so never more than ``repeats`` times its size. ``first_slot`` is the first time
@@ -85,10 +85,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = RE
     A null source is a source, last in order; null and empty texts have size 0 and are not taken.
     """
     n = c.partitions(docs.sparkSession)
-    own = docs.select(c.col("doc_id").cast("long").alias("doc_id"), c.col("source").cast("string").alias("source"), (c.n_words(c.col("text")) if size is None else size).cast("long").alias("size"), F.xxhash64(*c.cols(docs)).alias("h"))
+    own = docs.select(c.col("doc_id").cast("long").alias("doc_id"), c.col("source").cast("string").alias("source"), (c.n_words(c.col("text")) if size is None else size).cast("long").alias("size"), F.xxhash64(*c.cols(docs)).alias("h"), _second(docs).alias("h2"))
     own = c.staged(own.withColumn("s", F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), "source"))).withColumn("order", F.xxhash64("doc_id", "h", F.lit("mix"))).withColumn("bucket", F.pmod("order", F.lit(n))), "mix-sizes")
     sources = c.staged(_targets(own.groupBy("s").agg(F.sum("size").alias("source_size")), weights, repeats).select("s", "source_size", "target"), "mix-targets")
-    placed = c.staged(_running(own, ["s"], "bucket", ["order", "doc_id", "h", "size"], F.col("size"), "start"), "mix-places")
+    placed = c.staged(_running(own, ["s"], "bucket", ["order", "doc_id", "h", "h2", "size"], F.col("size"), "start"), "mix-places")
     slots = _schedule(sources, block, n)
     takes = slots.groupBy("s", "block").agg(F.sort_array(F.collect_list("words")).alias("takes"), F.min("t").alias("t"))  # at most `repeats` + 1 each
     pieces = placed.filter("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
@@ -97,18 +97,24 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = RE
     got = F.aggregate("takes", F.lit(0).cast("long"), lambda a, w: a + F.greatest(F.lit(0), F.least("to", w) - F.col("from")))
     taken = joined.withColumn("got", got).filter("got > 0").groupBy("s", "start").agg(F.sum("got").alias("taken"), F.min("t").alias("first_slot"))
     rows = placed.filter("size > 0").join(taken, ["s", "start"], "left").unionByName(placed.filter("size = 0").withColumns({"taken": F.lit(None).cast("long"), "first_slot": F.lit(None).cast("long")}))
-    return rows.join(sources, "s").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "first_slot", "h")
+    return rows.join(sources, "s").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), "first_slot", "h", "h2")
+
+
+def _second(docs: DataFrame) -> Column:
+    """Another hash of the row: two together tell any number of rows apart."""
+    return F.xxhash64(*c.cols(docs), F.lit(1))
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """Stage: each row as many times as the mix takes it, with the columns of ``docs``. A source's last, partly taken row counts if at least half of it is taken."""
     plan = mix(docs, **options).withColumn("copies", F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")).filter("size > 0 and copies > 0")
-    h, k = c.fresh(docs, "__h", "__copies")
-    wanted = plan.groupBy("h").agg(F.sum("copies").cast("int").alias(k)).withColumnRenamed("h", h)
-    rows = docs.withColumn(h, F.xxhash64(*c.cols(docs))).join(wanted, h)
+    h, h2, k = c.fresh(docs, "__h", "__h2", "__copies")
+    wanted = plan.groupBy("h", "h2").agg(F.sum("copies").cast("int").alias(k)).withColumnsRenamed({"h": h, "h2": h2})
+    rows = docs.withColumns({h: F.xxhash64(*c.cols(docs)), h2: _second(docs)}).join(wanted, [h, h2])
     # equal rows are interchangeable: one stands for all, with the copies of all
-    return rows.dropDuplicates([h]).withColumn(k, F.explode(F.sequence(F.lit(1), c.col(k)))).select(*c.cols(docs))
+    return rows.dropDuplicates([h, h2]).withColumn(k, F.explode(F.sequence(F.lit(1), c.col(k)))).select(*c.cols(docs))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns for every document, with the first slot; nulls, ties and repeated rows as in ``mix``; an empty table gives no rows."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
