@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import json
 import re
 import tempfile
 import uuid
@@ -17,9 +18,11 @@ LAST = 2**63 - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one only where none is set."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``); where none is set, a temporary one in local mode, and an error on a cluster."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="corvane-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -84,9 +87,22 @@ class WordIds:
     split and dictionary-encoded by Arrow, so Python sees each distinct word of them once, and each word goes through
     the ``tokenizers`` library once while it stays cached. Letters with symbols after them are two pre-tokens, so
     their ids are those of the letters, in any case of A-Z, and of the symbols. The caches are emptied when they reach
-    their limits, which bounds a worker's memory.
+    their limits, which bounds a worker's memory. All this holds for tokenizers with the stages in ``BY_WORDS``; with any
+    other one, whole texts are encoded as they are.
     """
 
+    # Normalizer and pre-tokenizer of vocabularies of lower-cased words without white space.
+    BY_WORDS = (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+            ],
+        },
+    )
+
     LETTERS = re.compile("[a-zÀ-ÖØ-öø-ÿ]+")
     SYMBOLS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
     WORDS, STEMS, JOINED, CHUNK = 1_000_000, 700_000, 1000, 8_000_000
@@ -98,6 +114,10 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        made = json.loads(self.tokenizer.to_str())
+        plain = made["model"]["type"] == "BPE" and not made["model"].get("dropout") and not any(made[x] for x in ("post_processor", "truncation", "padding"))
+        added = all(re.fullmatch(r"[!-~]+", x["content"]) and not (x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"]) for x in made["added_tokens"])
+        self.by_words = plain and added and (made["normalizer"], made["pre_tokenizer"]) == self.BY_WORDS
         self.words: dict[bytes, bytes] = {}
         self.stems: dict[bytes, bytes] = {}
 
@@ -170,6 +190,11 @@ class WordIds:
         at = 0
         while at < len(texts):
             upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + self.CHUNK, "right")))
+            if not self.by_words:
+                whole = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch(texts.slice(at, upto - at).to_pylist(), add_special_tokens=False)]
+                yield np.concatenate(whole), np.cumsum([len(x) for x in whole])
+                at = upto
+                continue
             split = pc.ascii_split_whitespace(texts.slice(at, upto - at))
             coded = split.flatten().dictionary_encode()
             distinct = coded.dictionary

@@ -2,9 +2,11 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from corvane.llm import _common as c
 from corvane.llm import curve_packing as cp
@@ -90,3 +92,21 @@ def test_packing_places_every_token_once(spark, tokenizer, sf_dir):
             assert r.ids_crc32 == zlib.crc32(struct.pack(f"<{r.length}I", *r.ids))
             fill[r.sequence_id] = r.offset + r.length
         assert all(x <= 4096 and x & (x - 1) == 0 for x in fill.values())
+
+
+def test_a_vocabulary_of_another_kind_gets_whole_texts():
+    path = c.public_vocabulary("byte_bpe_50k.json")
+    ids, plain = c.WordIds(path), Tokenizer.from_file(path)
+    assert not ids.by_words and c.WordIds(c.public_vocabulary()).by_words
+    texts = ["Hello World  HELLO", "", None, " tab\tand\n\nlines ", "É é 🙂 don't"]
+    got = [x.tolist() for x in ids.documents(pa.array(texts, "string"))]
+    assert got == [plain.encode(t or "", add_special_tokens=False).ids for t in texts] and got[0] != plain.encode("hello world hello").ids
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        get = staticmethod(lambda *_: None)
+
+    context = type("Context", (), {"getConf": lambda self: Conf, "master": "spark://host:7077"})()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        c.shared_dir(type("Session", (), {"sparkContext": context, "conf": Conf})())
