@@ -4,7 +4,7 @@ A document's paragraphs (lines, cut after sentences, that have a word) have 64-b
 so each copy has its own. A sketch has three tables of ``w`` cells, ``w`` a power of two; a digest is in one cell of each.
 A cell holds the XOR of its digests, the XOR of their checks and their number; only cells in use are kept. Sketches of
 one ``w`` subtract cell by cell, and peeling takes out, round by round, the digests that are alone in a cell, until no
-cell is left. If cells are left, it is done again with twice the ``w``. A document's sketch is the smallest, from twice as many cells
+cell is left. If cells are left, it is done again with twice the ``w``. A document's sketch is the smallest, from eight times as many cells
 a table as it has paragraphs, that can be peeled by itself, so its digests can always be recovered from it, and with them
 it can be enlarged. Its string, the fingerprint, holds all of it: any two fingerprints can be subtracted and peeled later.
 """
@@ -80,14 +80,19 @@ def _places(keys: Column, w: Column, n: int = 1) -> Column:
 
 
 def _peel(cells: Column, w: Column) -> Column:
-    """struct<cells, a, b, open>: what is left of ``cells`` and the digests that came out, with the count 1 (a) or -1 (b)."""
+    """struct<cells, a, b, open>: what is left of ``cells`` and the digests that came out, with the count 1 (a) or -1 (b).
+
+    Each digest is in three cells, so the XOR of all cells is that of all digests: if a round's digests have it, nothing is left.
+    """
     pure = lambda s: F.filter(s["cells"], lambda q: (F.abs(q["n"]) == 1) & (q["g"] == F.xxhash64(q["x"])))
     of = lambda p, n: F.array_distinct(F.transform(F.filter(p, lambda q: q["n"] == n), lambda q: q["x"]))
     state = lambda cells, a, b, more: F.struct(cells.alias("cells"), a.alias("a"), b.alias("b"), more.alias("open"))
 
     def taken(s: Column, p: Column) -> Column:
         less = F.concat(s["cells"], _places(p["a"], w, -1), _places(p["b"], w, 1))
-        return state(_combined(less), F.concat(s["a"], p["a"]), F.concat(s["b"], p["b"]), F.lit(True))
+        held = F.aggregate(s["cells"], _long(0), lambda t, q: t.bitwiseXOR(q["x"]))
+        out = F.aggregate(F.concat(p["a"], p["b"]), _long(0), lambda t, x: t.bitwiseXOR(x))
+        return state(F.when(held == out, F.array().cast(CELLS)).otherwise(_combined(less)), F.concat(s["a"], p["a"]), F.concat(s["b"], p["b"]), F.lit(True))
 
     def round_(s: Column, p: Column) -> Column:
         more = _let(F.struct(of(p, 1).alias("a"), of(p, -1).alias("b")), lambda sides: taken(s, sides))
@@ -115,7 +120,7 @@ def sketch(keys: Column) -> Column:
     """
 
     def build(k: Column) -> Column:
-        least = F.call_function("shiftleft", _long(1), F.length(F.bin(F.greatest(2 * F.size(k), F.lit(LEAST)) - 1)))
+        least = F.call_function("shiftleft", _long(1), F.length(F.bin(F.greatest(8 * F.size(k), F.lit(LEAST)) - 1)))
         return _let(least, lambda w: _let(_smallest(w, lambda v: _combined(_places(k, v))), lambda s: F.struct(s["w"].alias("w"), s["cells"].alias("cells"), s["a"].alias("got"))))
 
     return _let(keys, build)
