@@ -148,6 +148,7 @@ def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH
         narrow = c.staged(narrow.select("d", "h", "p", "leaf", F.coalesce("template", "line").alias("template")), "line-templates")
     texts = narrow.groupBy("leaf", "template", "h").agg(F.lit(1).alias("one"))
     drop = texts.groupBy("leaf", "template").agg(F.count("*").alias("n_texts")).filter(F.col("n_texts") >= min_docs).select("leaf", "template")
+    drop = c.staged(drop, "line-drops")  # so that the join reads both sides from plain shuffles, which can be split where one template has very many lines
     return narrow.join(drop, ["leaf", "template"]).groupBy("d", "h").agg(F.collect_set("p").alias("places"))
 
 
