@@ -117,7 +117,7 @@ def _shared(pairs: DataFrame) -> DataFrame:
 
 
 def _later(windows: DataFrame) -> DataFrame:
-    """(d, th, p) of windows (h1, h2, d, th, p) that also start in a document with a smaller d."""
+    """(d, th, p, more) of windows (h1, h2, d, th, p, more) that also start in a document with a smaller d."""
 
     def run(batches):
         import pyarrow as pa
@@ -131,23 +131,26 @@ def _later(windows: DataFrame) -> DataFrame:
             later = d > least
             last = a[-1], b[-1], least[-1]
             if later.any():
-                yield pa.RecordBatch.from_arrays([pa.array(d[later]), *(batch.column(x).filter(pa.array(later)) for x in ("th", "p"))], ["d", "th", "p"])
+                yield pa.RecordBatch.from_arrays([pa.array(d[later]), *(batch.column(x).filter(pa.array(later)) for x in ("th", "p", "more"))], ["d", "th", "p", "more"])
 
     n = c.partitions(windows.sparkSession)
-    return windows.repartition(n, "h1", "h2").sortWithinPartitions("h1", "h2", "d").mapInArrow(run, "d long, th long, p long")
+    return windows.repartition(n, "h1", "h2").sortWithinPartitions("h1", "h2", "d").mapInArrow(run, "d long, th long, p long, more int")
 
 
 def _anchors(facts: DataFrame) -> DataFrame:
-    """For each row d, null, th, th2, n_words, sha (of all its words) and its anchors' hashes."""
+    """For each row d, null, th, th2, n_words, sha (of all its words) and its anchors' hashes, which of copies in one task only the first has."""
 
     def run(batches):
         import pyarrow as pa
 
+        seen: set[tuple] = set()  # bounded as the texts of a task are
         for batch in batches:
             for at, upto in _slices(batch, "text"):
                 part = batch.slice(at, upto - at)
                 w = _Words(part.column("text"))
-                doc, word = _anchor_words(w.starts, w.ends)
+                names = list(zip(*(part.column(x).to_pylist() for x in ("th", "th2"))))
+                fresh = np.array([x not in seen and not seen.add(x) for x in names], bool)
+                doc, word = _anchor_words(w.starts, np.where(fresh, w.ends, w.starts))
                 h = w.runs(word, ANCHOR)
                 order = np.lexsort((h, doc))
                 doc, h = doc[order], h[order]
@@ -161,10 +164,10 @@ def _anchors(facts: DataFrame) -> DataFrame:
 
 
 def _windows(candidates: DataFrame) -> DataFrame:
-    """Windows (h1, h2, d, th, p) of rows (d, th, text, anchors) with at least one anchor among the row's shared ``anchors``: a match has one at the same place in both.
+    """Windows (h1, h2, d, th, p, more) of rows (d, th, text, anchors) with at least one anchor among the row's shared ``anchors``: a match has one at the same place in both.
 
-    ``p`` is a window's first word and, in the upper half, how many windows from there on are equal to it, less one: a
-    word repeated many times is one row.
+    ``p`` is a window's first word; it comes again in the row ``more`` times, each as many words on as the upper half of
+    ``p`` says: repeated words make few rows.
     """
 
     def run(batches):
@@ -191,22 +194,25 @@ def _windows(candidates: DataFrame) -> DataFrame:
                 doc, p, s = doc[good], p[good], s[good]
                 if not len(s):
                     continue
-                # two windows, one a word after the other, are equal if all their words are
-                changes = np.concatenate(([0], np.cumsum(w.hashes[1:] != w.hashes[:-1])))
-                first = np.concatenate(([True], (s[1:] != s[:-1] + 1) | (doc[1:] != doc[:-1]) | (changes[s[1:] + WINDOW - 1] != changes[s[:-1]])))
-                starts = np.flatnonzero(first)
-                more = np.diff(np.concatenate((starts, [len(s)]))) - 1
-                doc, p, s = doc[starts], p[starts] | more << 32, s[starts]
                 d, th = (part.column(x).to_numpy(zero_copy_only=False) for x in ("d", "th"))
+                h = w.runs(s, WINDOW)
+                order = np.argsort(_mix(h + doc.astype("u8") * np.uint64(_BASES[0])), kind="stable")
+                h, doc, p, s = h[order], doc[order], p[order], s[order]
+                other = np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))
+                step = np.where(other, 0, np.diff(p, prepend=0))  # from the same window before
+                new = other | np.concatenate(([False], ~other[:-1] & (step[1:] != step[:-1])))
+                at_ = np.flatnonzero(new)
+                more = np.diff(np.concatenate((at_, [len(s)]))) - 1
+                h, doc, s, p = h[at_], doc[at_], s[at_], p[at_] | np.where(more > 0, step[np.minimum(at_ + 1, len(step) - 1)], 0) << 32
                 for k in range(0, len(s), 200_000):
                     x = slice(k, k + 200_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(w.runs(s[x], WINDOW).view("i8")), pa.array(w.runs(s[x], WINDOW, 1).view("i8")), pa.array(d[doc[x]]), pa.array(th[doc[x]]), pa.array(p[x])], ["h1", "h2", "d", "th", "p"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h[x].view("i8")), pa.array(w.runs(s[x], WINDOW, 1).view("i8")), pa.array(d[doc[x]]), pa.array(th[doc[x]]), pa.array(p[x]), pa.array(more[x], "int32")], ["h1", "h2", "d", "th", "p", "more"])
 
-    return candidates.mapInArrow(run, "h1 long, h2 long, d long, th long, p long")
+    return candidates.mapInArrow(run, "h1 long, h2 long, d long, th long, p long, more int")
 
 
 def _cut(texts: DataFrame) -> DataFrame:
-    """d, th, n_removed, kept of rows (d, th, text, places): ``places`` are starts of removed windows, and in the upper half how many more follow."""
+    """d, th, n_removed, kept of rows (d, th, text, places): ``places`` are the (p, more) of removed windows."""
 
     def run(batches):
         import pyarrow as pa
@@ -216,10 +222,11 @@ def _cut(texts: DataFrame) -> DataFrame:
             for t, places in zip(c.text_column(batch), batch.column("places").to_pylist()):
                 words = t.split()
                 edge = np.zeros(len(words) + 1, "i4")
-                places = np.array(places, "i8")
-                first = places & 0xFFFFFFFF
+                p, more = (np.array([x[k] for x in places], "i8") for k in ("p", "more"))
+                again = np.arange(int((more + 1).sum())) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
+                first = np.repeat(p & 0xFFFFFFFF, more + 1) + again * np.repeat(p >> 32, more + 1)
                 np.add.at(edge, first, 1)
-                np.add.at(edge, first + (places >> 32) + WINDOW, -1)
+                np.add.at(edge, first + WINDOW, -1)
                 keep = np.cumsum(edge[:-1]) == 0
                 got.append((len(words) - int(keep.sum()), b" ".join([words[i] for i in np.flatnonzero(keep).tolist()]).decode()))
             yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("th"), pa.array([g[0] for g in got], "int64"), pa.array([g[1] for g in got], "string")], ["d", "th", "n_removed", "kept"])
@@ -238,13 +245,11 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     first_pass = c.staged(_anchors(facts), "cover-anchors")
     rows = first_pass.drop("anchors")
     owners = c.staged(rows.groupBy("th", "th2").agg(F.min("d").alias("least")), "cover-texts")
-    # copies of a text have its anchors too: each text sends its own once
-    once = first_pass.filter(F.size("anchors") > 0).select("th", "th2", "anchors").dropDuplicates(["th", "th2"])
-    shared = _shared(once.select("th", F.explode("anchors").alias("h")))
+    shared = _shared(first_pass.select("th", F.explode("anchors").alias("h")))
     lists = shared.groupBy("th").agg(F.collect_set("h").alias("anchors")).join(owners, "th").select(F.col("least").alias("d"), "th", "th2", "anchors")
     candidates = facts.select("d", "th", "th2", "text").join(lists, ["d", "th", "th2"]).dropDuplicates(["d", "th", "th2"])
     later = _later(_windows(candidates.select("d", "th", "text", "anchors")))
-    places = c.staged(later.groupBy("d", "th").agg(F.collect_list("p").alias("places")), "cover-places")
+    places = c.staged(later.groupBy("d", "th").agg(F.collect_list(F.struct("p", "more")).alias("places")), "cover-places")
     where = places.join(owners.withColumnRenamed("least", "d"), ["d", "th"]).select("d", "th", "th2", "places")
     cut = _cut(facts.select("d", "th", "th2", "text").join(where, ["d", "th", "th2"]).dropDuplicates(["d", "th", "th2"]).select("d", "th", "text", "places"))
     cut = cut.select("d", "th", "n_removed", F.sha2("kept", 256).alias("cut_sha"), *(["kept"] if with_text else []))
