@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions import words as W
-from .operators import chunking, embedding, evaluation, fusion, guards, lexical, rerank
+from .operators import chunking, citations, embedding, evaluation, fusion, guards, lexical, rerank
 from .plans import search as plans
 from .sources import loaders
 from .streaming import sessions
@@ -33,7 +33,7 @@ def table(spark, sf_dir, name):
 
 
 def corpus(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return loaders.spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 def questions(spark, sf_dir):
@@ -181,12 +181,12 @@ def bm25_incremental_equals_batch(spark, sf):
     return lexical.bm25(questions(spark, sf), grown.select("id", "text"), 20).select("qid", "id", "score", "rank")
 
 
-_VEC = "e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT a.vec_id AS qid, b.vec_id AS id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a, e b WHERE a.vec_id < 20)"
+_VEC = "e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT a.vec_id AS qid, b.vec_id AS id, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a, e b WHERE a.vec_id % 20 = 0)"
 
 
 def _vectors(spark, sf):
     v = table(spark, sf, "embeddings")
-    return v.filter("vec_id < 20").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector")), v.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("seq"), F.col("embedding").alias("vector"))
+    return v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector")), v.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("seq"), F.col("embedding").alias("vector"))
 
 
 @query(f"WITH {_VEC} SELECT * FROM (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 10")
@@ -205,10 +205,12 @@ hits AS (SELECT qid, 'a' AS list, 0.6 AS weight, id, rank, score FROM bm25 WHERE
 
 
 def _two_lists(spark, sf):
-    scores = lexical.bm25_scores(questions(spark, sf), corpus(spark, sf))
-    a = lexical.top(scores, 24, "id").select("qid", F.lit("a").alias("list"), F.lit(0.6).alias("weight"), "id", "rank", "score")
-    b = lexical.top(scores.withColumn("score", F.col("id").cast("double")), 24, "id").select("qid", F.lit("b").alias("list"), F.lit(0.4).alias("weight"), "id", "rank", "score")
-    return a.unionByName(b)
+    """Both lists from one pass over the scores, which are dear."""
+    place = lambda *by: F.row_number().over(Window.partitionBy("qid").orderBy(*by))
+    hit = lambda name, weight, rank, score: F.struct(F.lit(name).alias("list"), F.lit(weight).alias("weight"), "id", F.col(rank).alias("rank"), score.alias("score"))
+    scores = lexical.bm25_scores(questions(spark, sf), corpus(spark, sf)).withColumns({"a": place(F.desc("score"), "id"), "b": place(F.desc("id"))})
+    both = F.array(hit("a", 0.6, "a", F.col("score")), hit("b", 0.4, "b", F.col("id").cast("double")))
+    return scores.filter("a <= 24 or b <= 24").select("qid", F.explode(both).alias("x")).select("qid", "x.*").filter("rank <= 24")
 
 
 @query(_TWO + " SELECT qid, id, round(sum(weight / (60 + rank)), 9)::DOUBLE AS score FROM hits GROUP BY qid, id")
@@ -253,6 +255,48 @@ def hybrid_search(spark, sf):
     return plans.search(questions(spark, sf), chunks)
 
 
+def _contexts(spark, sf, k=5):
+    """The ``k`` best documents of each question as contexts of its answer."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id"), "source", F.col("source").alias("title"), F.lit(None).cast("int").alias("page"), F.lit(0).alias("ordinal"), "text")
+    return lexical.bm25(questions(spark, sf), corpus(spark, sf), k).withColumnRenamed("qid", "aid").join(d, "id")
+
+
+@query(f"""WITH {BM25_SQL}, m AS (SELECT item_id AS aid, unnest([2, 9, 1]) AS marker FROM benchmark)
+SELECT aid, marker, row_number() OVER (PARTITION BY aid ORDER BY marker = 1)::INT AS new_marker, id FROM m JOIN bm25 ON qid = aid AND rank = marker WHERE rank <= 5""")
+def resolve_citations(spark, sf):
+    answers = questions(spark, sf).select(F.col("qid").alias("aid"), F.concat(F.regexp_replace("question", r"[\[\]]", ""), F.lit(" 【2, 9】. And more [1].")).alias("answer"))
+    cited, _ = citations.resolved(answers, _contexts(spark, sf))
+    return cited.select("aid", "marker", "new_marker", "id")
+
+
+@query(f"""WITH {BM25_SQL}, c AS (SELECT qid, id FROM bm25 WHERE rank <= 5), r AS (SELECT item_id AS qid, doc_id AS id FROM benchmark, labels WHERE quality = 1 AND doc_id % 7 = item_id % 7),
+n AS (SELECT qid, count(*) AS n_rel FROM r GROUP BY qid), b AS (SELECT c.qid, count(*) AS n, count(r.id) AS hits FROM c LEFT JOIN r ON c.qid = r.qid AND c.id = r.id GROUP BY c.qid)
+SELECT qid, CASE WHEN n_rel > 0 THEN round(hits::DOUBLE / n, 6) ELSE 0 END AS citation_precision, CASE WHEN n_rel > 0 THEN round(hits::DOUBLE / n_rel, 6) ELSE 0 END AS citation_recall FROM b LEFT JOIN n USING (qid)""")
+def citation_metrics(spark, sf):
+    q = questions(spark, sf)
+    relevant = q.select("qid", (F.col("qid") % 7).alias("m")).join(table(spark, sf, "labels").filter("quality = 1").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 7).alias("m")), "m").select("qid", "id")
+    return citations.citation_metrics(lexical.bm25(q, corpus(spark, sf), 5).select("qid", "id"), relevant)
+
+
+@query("SELECT t AS tag, count(*)::BIGINT AS n, round(avg(n_chars), 6) AS n_chars_mean, round(coalesce(stddev_samp(n_chars), 0), 6) AS n_chars_std FROM (SELECT n_chars, unnest(CASE WHEN lang = 'en' THEN ['untagged'] ELSE [lang, source] END) AS t FROM documents) GROUP BY t")
+def metrics_by_tag(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("n_chars").cast("double").alias("n_chars"), F.when(F.col("lang") == "en", F.array().cast("array<string>")).otherwise(F.array("lang", "source")).alias("tags"))
+    return evaluation.by_tag(d, ["n_chars"])
+
+
+@query()
+def answer(spark, sf):
+    c = _contexts(spark, sf).withColumnRenamed("aid", "qid").withColumn("score", fusion.rescale(F.col("score"), "lexical"))
+    got = plans.answers(questions(spark, sf), c, corpus(spark, sf))
+    return got.select("qid", "answer", "reason", "abstained", "groundedness", F.size("citations").alias("n_citations"))
+
+
+@query(f"""WITH {BM25_SQL}, w AS (SELECT qid, rank, id, len(regexp_extract_all('[' || rank || '] ' || source || ' (chunk 0) :: ' || source || chr(10) || text, '[A-Za-z0-9_]+(?:''[A-Za-z]+)?')) AS n FROM bm25 JOIN documents ON id = doc_id WHERE rank <= 24),
+s AS (SELECT *, sum(n) OVER (PARTITION BY qid ORDER BY rank) AS total FROM w) SELECT qid AS aid, rank, id FROM s WHERE round(total * 1.32::DOUBLE) <= 60000""")
+def context_prefix(spark, sf):
+    return citations.within_budget(_contexts(spark, sf, 24), 60000).select("aid", "rank", "id")
+
+
 @query()
 def hashing_embed(spark, sf):
     return embedding.with_embedding(corpus(spark, sf), "text", 256).select("id", F.round(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm"))
@@ -279,7 +323,7 @@ _COVER = f"list_distinct({sql_stems(f'list_filter({sql_content(chr(98) + chr(46)
 @query(f"""WITH {BM25_SQL}, c AS (SELECT b.item_id AS qid, {_COVER} AS q FROM benchmark b),
 ctx AS (SELECT qid, list_distinct(flatten(list(st))) AS v, max(score) AS top, count(*) AS n FROM (SELECT qid, score, {sql_stems('t')} AS st FROM bm25 JOIN toks USING (id) WHERE rank <= 5) GROUP BY qid),
 g AS (SELECT c.qid, CASE WHEN len(q) = 0 THEN 1.0 ELSE {sql_contain('q', 'v')} END AS cov, top / (top + 4) AS score, coalesce(n, 0) AS n FROM c LEFT JOIN ctx USING (qid))
-SELECT qid, round(coalesce(cov, 0), 6) AS coverage, CASE WHEN n = 0 THEN 'no_results' WHEN score < 0.1 THEN 'low_retrieval_score' WHEN cov < 0.7 THEN 'low_query_coverage' END AS reason FROM g""")
+SELECT qid, round(coalesce(cov, 0), 6) AS coverage, CASE WHEN n = 0 THEN 'no_results' WHEN score < 0.1 THEN 'low_retrieval_score' WHEN cov < 0.7 THEN 'query_terms_absent' END AS reason FROM g""")
 def gate_reason(spark, sf):
     q = questions(spark, sf)
     ctx = lexical.bm25(q, corpus(spark, sf), 5).join(corpus(spark, sf), "id").groupBy("qid").agg(F.array_join(F.collect_list("text"), "\n").alias("context"), F.max("score").alias("top"), F.count("*").alias("n"))
@@ -380,7 +424,7 @@ def extractive_answer(spark, sf):
     return guards.extractive_answers(p.select("qid", "question", "rank", "text"))
 
 
-_REL = "rel AS (SELECT DISTINCT qid, id FROM scores JOIN labels ON id = doc_id WHERE quality = 1 AND id % 3 = 0)"
+_REL = "rel AS (SELECT DISTINCT qid, id FROM scores JOIN labels ON id = doc_id WHERE quality = 1)"
 
 
 @query(f"""WITH {BM25_SQL}, {_REL}, h AS (SELECT b.qid, b.id, b.rank AS r, (rel.id IS NOT NULL)::INT AS hit FROM bm25 b LEFT JOIN rel ON b.qid = rel.qid AND b.id = rel.id WHERE rank <= 20),
@@ -390,7 +434,7 @@ SELECT qid, coalesce(round(found::DOUBLE / n_rel, 6), 0) AS recall, round(found:
 coalesce(round(dcg / list_sum(list_transform(range(1, least(5, n_rel) + 1), lambda i: 1 / log2(i + 1))), 6), 0) AS ndcg, coalesce(round(ap / n_rel, 6), 0) AS average_precision FROM a LEFT JOIN n USING (qid)""")
 def retrieval_metrics(spark, sf):
     q, c = questions(spark, sf), corpus(spark, sf)
-    good = table(spark, sf, "labels").filter("quality = 1 and doc_id % 3 = 0").select(F.col("doc_id").alias("id"))
+    good = table(spark, sf, "labels").filter("quality = 1").select(F.col("doc_id").alias("id"))
     rel = lexical.bm25_scores(q, c).join(good, "id", "left_semi").select("qid", "id")
     return evaluation.ranking_metrics(lexical.bm25(q, c, 20), rel, 5)
 
@@ -431,7 +475,7 @@ def page_spans(spark, sf):
 
 def _chunks(name):
     def run(spark, sf):
-        return chunking.chunk(table(spark, sf, "documents").select("doc_id", "text"), name).drop("text")
+        return chunking.chunk(loaders.spread(table(spark, sf, "documents").select("doc_id", "text")), name).drop("text")
 
     return run
 

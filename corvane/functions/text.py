@@ -7,11 +7,29 @@ from pyspark.sql import functions as F
 
 from . import words as W
 
+# What a token is, and where a sentence ends inside a line.
 TOKEN = "[a-z0-9_]+(?:'[a-z]+)?"
 SENTENCE_GAP = r"""(?<=[.!?])\s+(?=["'(\[]?[A-Z0-9])"""
+MARKERS = r"\[\s*(\d+(?:\s*,\s*\d+)*)\s*\]"
+# Fixed value: what a token estimate counts.
+COUNTED = "[A-Za-z0-9_]+(?:'[A-Za-z]+)?"
 STRIP = r"(?U)^\s+|\s+$"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once, however often ``body`` has it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def once(df, **columns: Column):
+    """``df`` with further columns that are evaluated once a row: as a generator's output they aren't copied into the expressions that use them."""
+    from uuid import uuid4
+
+    name = f"__once_{uuid4().hex}"
+    made = df.select("*", F.explode(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))).alias(name))
+    return made.withColumns({k: F.col(name)[k] for k in columns}).drop(name)
+
+
 def array(values) -> Column:
     return F.array(*map(F.lit, values))
 
@@ -46,7 +64,7 @@ def sentences(text: Column) -> Column:
 
 
 def content_words(text: Column, stopwords=W.STOPWORDS, shortest: int = 3) -> Column:
-    return F.filter(tokenize(text), lambda t: ~F.array_contains(array(stopwords), t) & (F.length(t) >= shortest))
+    return F.filter(tokenize(text), lambda t: ~t.isin(list(stopwords)) & (F.length(t) >= shortest))
 
 
 def stable_id(*parts: Column) -> Column:
@@ -90,17 +108,21 @@ def normalize_markers(text: Column) -> Column:
 
 def markers(text: Column) -> Column:
     """Numbers in [1], [1, 2] in the order in which they first come."""
-    groups = F.regexp_extract_all(normalize_markers(text), F.lit(r"\[\s*(\d+(?:\s*,\s*\d+)*)\s*\]"), F.lit(1))
+    groups = F.regexp_extract_all(normalize_markers(text), F.lit(MARKERS), F.lit(1))
     return F.array_distinct(F.flatten(F.transform(groups, lambda g: F.transform(F.split(g, r"\s*,\s*"), lambda x: x.cast("int")))))
 
 
-def strip_markers(text: Column) -> Column:
-    t = F.regexp_replace(normalize_markers(text), r"\[\s*\d+(?:\s*,\s*\d+)*\s*\]", "")
+def tidy(t: Column) -> Column:
+    """Without the blanks that a cut leaves."""
     t = F.regexp_replace(t, r"[ \t]+([.,;:!?)\]}])", "$1")
     t = F.regexp_replace(F.regexp_replace(t, r"(?<=\S)[ \t]{2,}", " "), r"[ \t]+(?=\n)", "")
     return F.regexp_replace(t, STRIP, "")
 
 
+def strip_markers(text: Column) -> Column:
+    return tidy(F.regexp_replace(normalize_markers(text), MARKERS, ""))
+
+
 def money_slot_unfilled(question: Column, answer: Column) -> Column:
     """Whether a price is asked for and the answer names no money, nor says that it is free."""
     cues = F.transform(array(W.PRICE_WORDS), stem)

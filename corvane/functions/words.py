@@ -57,3 +57,6 @@ OPENING_PHRASES = ("what about", "how about", "and what about", "what if")
 PREFIXES = {"version": "v", "ver": "v", "rev": "v", "revision": "v"}
 # Brackets that count as square ones.
 BRACKETS = ("【】［］⟦⟧❨❩", "[][][][]")
+
+# Fixed value: lines that state nothing: headings, anchors, fences, table rules, lone tags.
+NOTHING_STATED = r"^\s*(?:#{1,6}\s|\{\s*#[\w-]+\s*\}|```|\|?\s*[:-]{3,}\s*\||<[^>]+>\s*$)"

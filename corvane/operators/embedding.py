@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import math
 import unicodedata
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -18,27 +18,57 @@ from .chunking import TOKEN
 PRIORS = {"word": 1.0, "bigram": 0.7, "char": 0.35}
 
 
-def features(text: str) -> Counter:
+def features(text: str) -> dict[str, Counter]:
+    """How often each feature of each kind is in a text."""
     line = " ".join(unicodedata.normalize("NFKC", text).replace("\xad", "").lower().split())
     tokens = TOKEN.findall(line)
-    pairs = map(" ".join, zip(tokens, tokens[1:]))
-    grams = (line[i : i + 4] for i in range(len(line) - 3))
-    return Counter((kind, x) for kind, some in (("word", tokens), ("bigram", pairs), ("char", grams)) for x in some)
+    return {"word": Counter(tokens), "bigram": Counter(map(" ".join, zip(tokens, tokens[1:]))), "char": Counter(map("".join, zip(line, line[1:], line[2:], line[3:])))}
 
 
-def embed_one(text: str, dim: int = 1024) -> np.ndarray:
-    """Unit vector (float32) of a text; zeros for a blank one."""
-    v = np.zeros(dim)
-    for (kind, x), n in features(text).items():
+class Buckets:
+    """Bucket and weight of each feature, hashed once while it is held; emptied at ``MOST``, which bounds a worker's memory."""
+
+    MOST = 2_000_000
+
+    def __init__(self, dim: int):
+        self.dim, self.known = dim, {kind: {} for kind in PRIORS}
+        self.bucket, self.weight = array("q"), array("d")
+
+    def _new(self, kind: str, x: str) -> int:
         h = int.from_bytes(hashlib.blake2b(f"{kind}\x1f{x}".encode("utf-8", "ignore"), digest_size=8).digest(), "big")
-        v[h % dim] += (1.0 if h >> 63 else -1.0) * (1 + math.log(n)) * PRIORS[kind] * min(1.0, (len(x) + 1) / 8)
-    return (v / max(np.linalg.norm(v), 1e-12)).astype("f4")
+        self.known[kind][x] = len(self.bucket)
+        self.bucket.append(h % self.dim)
+        self.weight.append((1.0 if h >> 63 else -1.0) * PRIORS[kind] * min(1.0, (len(x) + 1) / 8))
+        return len(self.bucket) - 1
+
+    def embed(self, text: str) -> np.ndarray:
+        """Unit vector (float32) of a text; zeros for a blank one."""
+        if len(self.bucket) > self.MOST:
+            self.__init__(self.dim)
+        at, n = [], []
+        for kind, found in features(text).items():
+            numbers = list(map(self.known[kind].get, found))
+            at += [self._new(kind, x) if k is None else k for k, x in zip(numbers, found)]
+            n += found.values()
+        if not at:
+            return np.zeros(self.dim, "f4")
+        at = np.array(at, "i8")
+        bucket, weight = np.array(np.frombuffer(self.bucket, "i8")[at]), np.array(np.frombuffer(self.weight, "f8")[at])
+        v = np.bincount(bucket, weight * (1 + np.log(np.array(n, "f8"))), self.dim)
+        return (v / max(np.linalg.norm(v), 1e-12)).astype("f4")
+
+
+_held: dict[int, Buckets] = {}
+
+
+def embed_one(text: str, dim: int = 1024) -> np.ndarray:
+    return _held.setdefault(dim, Buckets(dim)).embed(text)
 
 
 def embed(text: Column, dim: int = 1024) -> Column:
     @F.pandas_udf(ArrayType(FloatType()))
     def run(s):
-        return s.map(lambda x: embed_one(x or "", dim).tolist())
+        return s.map(lambda x: embed_one(x or "", dim))
 
     return run(text)
 

@@ -1,12 +1,16 @@
-"""Retrieval, text and refusal metrics over batches of rankings."""
+"""Retrieval, text, citation and refusal metrics over batches of rankings and answers."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ..functions import text as T
 
+BESIDE = 32 << 20  # characters of passages that are broadcast
 
 def ranking_metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """Per question of ``ranked`` (qid, id, rank): recall, precision, hit rate and nDCG at ``k``, MRR and average precision against ``relevant`` (qid, id)."""
@@ -38,36 +42,44 @@ def ranking_metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame
     )
 
 
-def token_f1(prediction: Column, reference: Column) -> Column:
-    """Harmonic mean of multiset precision and recall of tokens; 1 for two empty texts, 0 for one."""
-    a, b = T.tokenize(prediction), T.tokenize(reference)
-    counts = lambda x, w: F.size(F.filter(x, lambda y: y == w))
-    same = F.aggregate(F.array_distinct(F.col("__a")), F.lit(0), lambda s, w: s + F.least(counts(F.col("__a"), w), counts(F.col("__b"), w)))
-    return a, b, F.when((F.size("__a") == 0) & (F.size("__b") == 0), 1.0).otherwise(T.ratio(2 * same, F.size("__a") + F.size("__b")))
-
-
 def with_token_f1(df: DataFrame, prediction: str, reference: str) -> DataFrame:
-    a, b, f1 = token_f1(F.col(prediction), F.col(reference))
-    return df.withColumns({"__a": a, "__b": b}).withColumn("token_f1", F.round(f1, 6)).drop("__a", "__b")
-
+    """``df`` with ``token_f1``: harmonic mean of multiset precision and recall of tokens; 1 for two empty texts, 0 for one.
 
-def with_rouge_l(df: DataFrame, prediction: str, reference: str) -> DataFrame:
-    """F1 of the longest common subsequence of tokens, by a fold over rows of its table."""
-    a, b = F.col("__a"), F.col("__b")
-    zero = F.transform(b, lambda _: F.lit(0))
-
-    def row(prev: Column, w: Column) -> Column:
-        def cell(acc: Column, j: Column) -> Column:
-            left = F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0))
-            diagonal = F.coalesce(F.get(prev, j - 1), F.lit(0))
-            value = F.when(F.get(b, j) == w, diagonal + 1).otherwise(F.greatest(left, F.get(prev, j)))
-            return F.concat(acc, F.array(value))
+    The k-th of equal tokens is told apart by k, so common tokens are the intersection of two sets.
+    """
+    starts = lambda e: F.filter(F.when(F.size(e) > 0, F.sequence(F.lit(0), F.size(e) - 1)).otherwise(F.array().cast("array<int>")), lambda i: (i == 0) | (F.get(e, i) != F.get(e, i - 1)))
+    numbered = lambda e, r: F.flatten(F.transform(r, lambda s, k: F.transform(F.sequence(s, F.coalesce(F.get(r, k + 1), F.size(e)) - 1), lambda i: F.concat_ws(" ", F.get(e, i), (i - s).cast("string")))))
+    counted = lambda text: T.let(F.array_sort(T.tokenize(text)), lambda e: T.let(starts(e), lambda r: numbered(e, r)))
+    d = T.once(df, __a=counted(F.col(prediction)), __b=counted(F.col(reference)))
+    f1 = F.when((F.size("__a") == 0) & (F.size("__b") == 0), 1.0).otherwise(T.ratio(2 * F.size(F.array_intersect("__a", "__b")), F.size("__a") + F.size("__b")))
+    return d.withColumn("token_f1", F.round(f1, 6)).drop("__a", "__b")
+
+
+@F.pandas_udf(IntegerType())
+def common_subsequence(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Length of the longest common subsequence of two token lists, row by row of its table; a row is one step of array arithmetic."""
+
+    def one(x, y) -> int:
+        if len(x) < len(y):
+            x, y = y, x
+        if not len(y):
+            return 0
+        codes = {w: k for k, w in enumerate(dict.fromkeys([*x, *y]))}
+        y = np.array([codes[w] for w in y])
+        best = np.zeros(len(y) + 1, "i4")
+        for w in x:
+            # a cell is the best of the one above, one more than the one before that on a match, and all cells before it
+            best[1:] = np.maximum.accumulate(np.maximum(best[1:], np.where(y == codes[w], best[:-1] + 1, 0)))
+        return int(best[-1])
+
+    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="int32")
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(b) - 1), F.array().cast("array<int>"), cell)
 
-    lcs = F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(F.coalesce(F.try_element_at(F.aggregate(a, zero, row), F.lit(-1)), F.lit(0)))
-    score = F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(T.ratio(2 * lcs, F.size(a) + F.size(b)))
-    return df.withColumns({"__a": T.tokenize(F.col(prediction)), "__b": T.tokenize(F.col(reference))}).withColumn("rouge_l", F.round(score, 6)).drop("__a", "__b")
+def with_rouge_l(df: DataFrame, prediction: str, reference: str) -> DataFrame:
+    """``df`` with ``rouge_l``: F1 of the longest common subsequence of tokens; 1 for two empty texts, 0 for one."""
+    d = T.once(df, __a=T.tokenize(F.col(prediction)), __b=T.tokenize(F.col(reference)))
+    n = F.size("__a") + F.size("__b")
+    return d.withColumn("rouge_l", F.round(F.when(n == 0, 1.0).otherwise(T.ratio(2 * common_subsequence("__a", "__b"), n)), 6)).drop("__a", "__b")
 
 
 def exact_match(prediction: Column, reference: Column) -> Column:
@@ -80,6 +92,12 @@ def aggregate(rows: DataFrame, metrics: list[str], *group: str) -> DataFrame:
     return rows.groupBy(*group).agg(F.count("*").alias("n"), *[x for m in metrics for x in (F.round(F.avg(clean(m)), 6).alias(f"{m}_mean"), F.round(F.coalesce(F.stddev_samp(clean(m)), F.lit(0.0)), 6).alias(f"{m}_std"))])
 
 
+def by_tag(rows: DataFrame, metrics: list[str], tags: str = "tags") -> DataFrame:
+    """``aggregate`` for each tag of the array ``tags``; rows without one are ``untagged``."""
+    some = F.when(F.size(F.coalesce(tags, F.array().cast("array<string>"))) > 0, F.col(tags)).otherwise(F.array(F.lit("untagged")))
+    return aggregate(rows.withColumn("tag", F.explode(some)), metrics, "tag")
+
+
 def refusal_rates(rows: DataFrame) -> DataFrame:
     """Rates over (must_abstain, abstained), 0 where there is nothing to count."""
     must, did = F.col("must_abstain"), F.col("abstained")
@@ -95,14 +113,32 @@ def refusal_rates(rows: DataFrame) -> DataFrame:
 def relevant_chunks(passages: DataFrame, chunks: DataFrame, share: float = 0.6) -> DataFrame:
     """(pid, id): chunks (id, text) that hold a passage (pid, text) or lie in it, in canonical form; for a passage with none, those that share enough of the tokens of either.
 
-    Passages are a stated set of questions; each is compared with every chunk. Shared tokens are counted by a join on tokens.
+    A text that lies in another has its tokens but the first and the last whole, so pairs come from a join on one of
+    those: a passage's rarest, or a chunk's second (chunks longer than all passages are left out first). Texts of one
+    or two tokens have none; only they are compared with all. Shared tokens are counted by a join on tokens.
     """
-    canonical = lambda d, key: d.select(key, F.array_join(T.tokenize(T.squeeze(F.col("text"))), " ").alias("c")).filter("c <> ''")
+
+    def canonical(d: DataFrame, key: str) -> DataFrame:
+        rows = T.once(d, t=T.tokenize(T.squeeze(F.col("text")))).filter(F.size("t") > 0)
+        return T.once(rows.select(key, "t"), c=F.array_join("t", " "), s=F.array_distinct("t"), inner=F.array_distinct(F.slice("t", F.lit(2), F.greatest(F.size("t") - 2, F.lit(0)))))
+
     p, c = canonical(passages, "pid"), canonical(chunks, "id")
-    whole = p.join(c.withColumnRenamed("c", "h"), F.contains(F.col("h"), F.col("c")) | F.contains(F.col("c"), F.col("h"))).select("pid", "id")
+    sizes = p.agg(F.coalesce(F.sum(F.length("c")), F.lit(0)).alias("all"), F.max(F.length("c")).alias("longest"), F.count(F.when(F.size("t") <= 2, 1)).alias("tiny")).first()
+    beside = F.broadcast if sizes["all"] <= BESIDE else lambda d: d  # a few passages go to all tasks; more are joined as Spark sees fit
+    asked = p.select("pid", F.explode("inner").alias("term"))
+    df = c.select(F.explode("s").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    rarest = asked.join(df, "term").groupBy("pid").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
+    near = c.select("id", F.explode("s").alias("term")).join(rarest, "term").select("pid", "id")
+    held = c.select("id", F.col("c").alias("h"), F.size("t").alias("n"), F.get("t", F.lit(1)).alias("second"))
+    inside = near.join(p.select("pid", "c"), "pid").join(held, "id").filter(F.contains("h", "c")).select("pid", "id")
+    short = held.filter(F.length("h") <= F.lit(sizes["longest"] or 0))
+    around = short.filter("n > 2").join(p.select("pid", "c", F.explode("s").alias("second")), "second").filter(F.contains("c", "h")).select("pid", "id")
+    whole = inside.union(around).union(short.filter("n <= 2").join(beside(p.select("pid", "c")), F.contains("c", "h")).select("pid", "id"))
+    if sizes["tiny"]:
+        whole = whole.union(held.join(beside(p.filter(F.size("t") <= 2).select("pid", "c")), F.contains("h", "c")).select("pid", "id"))
+    whole = whole.distinct()
     rest = p.join(whole, "pid", "left_anti")
-    tokens = lambda d, key: d.select(key, F.explode(F.array_distinct(F.split("c", " "))).alias("t"))
-    sizes = lambda d, key, n: d.select(key, F.size(F.array_distinct(F.split("c", " "))).alias(n))
-    shared = tokens(rest, "pid").join(tokens(c, "id"), "t").groupBy("pid", "id").agg(F.count("*").alias("n"))
-    some = shared.join(sizes(rest, "pid", "a"), "pid").join(sizes(c, "id", "b"), "id").filter(F.col("n") >= share * F.least("a", "b")).select("pid", "id")
+    width = lambda d, key, n: d.select(key, F.size("s").alias(n))
+    shared = rest.select("pid", F.explode("s").alias("term")).join(c.select("id", F.explode("s").alias("term")), "term").groupBy("pid", "id").agg(F.count("*").alias("n"))
+    some = shared.join(width(rest, "pid", "a"), "pid").join(width(c, "id", "b"), "id").filter(F.col("n") >= share * F.least("a", "b")).select("pid", "id")
     return whole.union(some)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StructField, StructType
 
 from ..functions import text as T
 from . import lexical
@@ -11,15 +13,61 @@ from . import lexical
 RRF_K, HALF = 60, 4.0
 
 
-def cosine_scores(questions: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(qid, id, seq, score) of each question (qid, vector) against each row of ``vectors`` (id, seq, vector): exact search is a product of a question batch and the store, which is what it means."""
-    q = questions.select("qid", T.unit(F.col("vector")).alias("__q"))
-    v = vectors.select("id", "seq", T.unit(F.col("vector")).alias("__v"))
-    return v.join(q, F.size("__q") == F.size("__v")).select("qid", "id", "seq", F.round(T.dot(F.col("__q"), F.col("__v")), 6).alias("score"))
+def _blocks(rows: DataFrame, ids: list[str], size: int) -> DataFrame:
+    """``rows`` (ids, vector) as rows of up to ``size``: arrays of their ids, and their unit vectors as one matrix; raises for vectors of different dimensions."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                lists = part.column("vector").to_pylist()
+                dims = {len(v) for v in lists}
+                if len(dims) > 1:
+                    raise ValueError(f"vectors of different dimensions: {sorted(dims)}")
+                m = np.array(lists, "f8").reshape(len(lists), -1)
+                m /= np.maximum(np.sqrt((m * m).sum(axis=1)), 1e-12)[:, None]
+                arrays = [pa.array([part.column(x).to_pylist()], pa.list_(part.schema.field(x).type)) for x in ids]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array([m.tobytes()], pa.binary()), pa.array([m.shape[1]], "int32")], [*ids, "m", "dim"])
+
+    kinds = [StructField(x, ArrayType(rows.schema[x].dataType)) for x in ids]
+    chosen = rows.select(*ids, "vector").filter("vector is not null")
+    return chosen.mapInArrow(run, StructType([*kinds, StructField("m", BinaryType()), StructField("dim", IntegerType())]))
 
 
 def cosine(questions: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
-    return lexical.top(cosine_scores(questions, vectors), k, "seq")
+    """The ``k`` rows of ``vectors`` (id, seq, vector) nearest to each question (qid, vector), by exact cosine, ties by ``seq``: qid, id, seq, score, rank.
+
+    Questions are a stated set: blocks of them meet blocks of rows as matrix products, of which each question's best
+    ``k`` are left. Vectors of another dimension raise. Zero vectors have cosine 0 with all.
+    """
+    asked = _blocks(questions, ["qid"], 512).withColumnsRenamed({"m": "q", "dim": "qdim"})
+    pairs = _blocks(vectors.select("id", "seq", "vector"), ["id", "seq"], 4096).crossJoin(asked)
+
+    def best(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for r in range(batch.num_rows):
+                one = {x: batch.column(x)[r] for x in batch.schema.names}
+                if one["dim"].as_py() != one["qdim"].as_py():
+                    raise ValueError(f"vectors of {one['dim']} dimensions for questions of {one['qdim']}")
+                v, q = (np.frombuffer(one[x].as_py(), "f8").reshape(-1, max(1, one["dim"].as_py())) for x in "mq")
+                seq, scores = np.array(one["seq"].as_py(), "i8"), np.round(q @ v.T, 6) + 0.0
+                at, of = [], []
+                for i, s in enumerate(scores):
+                    least = np.partition(s, -k)[-k] if len(s) > k else -2.0
+                    near = np.flatnonzero(s >= least)
+                    near = near[np.lexsort((seq[near], -s[near]))][:k]
+                    at.append(near)
+                    of.append(np.full(len(near), i))
+                at, of = np.concatenate(at), np.concatenate(of)
+                take = lambda name, i: one[name].values.take(pa.array(i))
+                yield pa.RecordBatch.from_arrays([take("qid", of), take("id", at), take("seq", at), pa.array(scores[of, at])], ["qid", "id", "seq", "score"])
+
+    fields = [StructField("qid", questions.schema["qid"].dataType), *(vectors.schema[x] for x in ("id", "seq")), StructField("score", DoubleType())]
+    return lexical.top(pairs.mapInArrow(best, StructType(fields)), k, "seq")
 
 
 def dedupe(hits: DataFrame) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import words as W
 
-MIN_SCORE, MIN_COVERAGE, SUPPORTED = 0.10, 0.70, 0.42
+MIN_SCORE, MIN_COVERAGE, SUPPORTED, MIN_GROUNDED = 0.10, 0.70, 0.42, 0.60
+# Fixed value: the plain refusal.
+REFUSAL = "I could not find enough support for that in the indexed documents."
 # Shapes of identifiers.
 IDENTIFIER = r"\b([A-Za-z]{1,12})-?(\d{1,5}(?:\.\d{1,5})?)\b"
 SPACED = r"\b([A-Za-z]{2,12}) (\d{1,5}(?:\.\d{1,5})?)\b"
@@ -33,13 +35,14 @@ ATTRIBUTES = (
 
 def coverage(question: Column, context: Column) -> Column:
     """Share of the question's content stems that the context's tokens have; 1 for a question without any."""
-    asked = F.array_distinct(F.transform(F.filter(T.content_words(question), lambda w: ~F.array_contains(T.array(W.SCAFFOLD), w)), T.stem))
+    asked = F.array_distinct(F.transform(F.filter(T.content_words(question), lambda w: ~w.isin(list(W.SCAFFOLD))), T.stem))
     return F.when(F.size(asked) == 0, 1.0).otherwise(T.containment(asked, T.stems(context)))
 
 
-def gate(results: Column, score: Column, covered: Column) -> Column:
-    """Why a question is refused before it is answered; null if it isn't."""
-    return F.when(results == 0, "no_results").when(score < MIN_SCORE, "low_retrieval_score").when(covered < MIN_COVERAGE, "low_query_coverage")
+def gate(results: Column, score: Column, covered: Column, anchors: Column | None = None, indexed: Column | None = None) -> Column:
+    """Why a question is refused before it is answered, by the first gate that says so; null if none does. ``anchors``: how many it misses; ``indexed``: chunks in the index."""
+    reason = F.when((results == 0) & ((F.lit(1) if indexed is None else indexed) == 0), "empty_index").when(results == 0, "no_results").when(score < MIN_SCORE, "low_retrieval_score").when(covered < MIN_COVERAGE, "query_terms_absent")
+    return reason if anchors is None else reason.when(anchors > 0, "anchor_missing")
 
 
 def vocabulary(text: Column) -> Column:
@@ -116,7 +119,7 @@ def capitalised_runs(question: Column) -> Column:
     """Runs (array<array<string>>) of at least two words with a capital, the first word of the question aside; stopwords end a run."""
     words = F.regexp_extract_all(question, F.lit("[A-Za-z0-9_]+"), F.lit(0))
     rest = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
-    named = lambda w: w.rlike("^[A-Z]") & ~F.array_contains(T.array(W.STOPWORDS), F.lower(w))
+    named = lambda w: w.rlike("^[A-Z]") & ~F.lower(w).isin(list(W.STOPWORDS))
     joined = F.array_join(F.transform(rest, lambda w: F.when(named(w), w).otherwise("\n")), " ")
     runs = F.transform(F.split(joined, "\n"), lambda r: F.filter(F.split(r, " "), lambda w: w != ""))
     return F.filter(runs, lambda r: F.size(r) >= 2)
@@ -136,22 +139,72 @@ def unattested_names(questions: DataFrame, corpus: DataFrame) -> DataFrame:
     return pairs.join(known.withColumn("hit", F.lit(1)), "pair", "left").groupBy("qid", "n", "run").agg(F.max("hit").alias("hit")).filter("hit is null").select("qid", "run")
 
 
+def anchor_frequency(corpus: DataFrame) -> DataFrame:
+    """(stem, df): in how many chunks of ``corpus`` (id, text) a stem or part of a token is."""
+    return corpus.select(F.explode(vocabulary(F.col("text"))).alias("stem")).groupBy("stem").agg(F.count("*").alias("df"))
+
+
+def orphan_spans(questions: DataFrame, contexts: DataFrame, frequency: DataFrame, least: int = 2) -> DataFrame:
+    """(qid, span): runs of at least ``least`` anchors of a question (qid, question), one of them an attribute, that the corpus has and its pivot chunk has not.
+
+    The pivot is the context (qid, rank, text) whose vocabulary has most of the anchors, rare ones counting more, the
+    first of equals. ``frequency`` is (stem, df) of the corpus.
+    """
+    tokens = F.filter(T.content_words(F.col("question")), lambda w: ~w.isin(list(W.SCAFFOLD)))
+    anchors = questions.select("qid", F.posexplode(F.transform(tokens, T.stem)).alias("n", "stem")).join(frequency, "stem", "left").na.fill(0, ["df"])
+    vocab = contexts.select("qid", "rank", F.explode(vocabulary(F.col("text"))).alias("stem"))
+    held = anchors.join(vocab, ["qid", "stem"])
+    weight = contexts.select("qid", "rank").join(held.groupBy("qid", "rank").agg(F.sum(1 / (1 + F.col("df"))).alias("w")), ["qid", "rank"], "left")
+    pivot = weight.groupBy("qid").agg(F.max_by("rank", F.struct(F.coalesce("w", F.lit(0.0)), -F.col("rank"))).alias("rank"))
+    has = held.join(pivot, ["qid", "rank"]).select("qid", "n", F.lit(True).alias("has"))
+    flags = anchors.join(pivot.select("qid"), "qid").join(has, ["qid", "n"], "left").groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("n", "stem", (F.col("has").isNull() & (F.col("df") >= 1)).alias("orphan")))).alias("a"))
+    runs = F.split(F.array_join(F.transform("a", lambda x: F.when(x["orphan"], x["stem"]).otherwise("\n")), " "), "\n")
+    words = F.transform(runs, lambda r: F.filter(F.split(r, " "), lambda w: w != ""))
+    attributes = F.array_distinct(F.transform(T.array(ATTRIBUTES), T.stem))
+    good = F.filter(words, lambda r: (F.size(r) >= least) & F.arrays_overlap(r, attributes))
+    return flags.select("qid", F.explode(F.transform(good, lambda r: F.array_join(r, " "))).alias("span"))
+
+
+def missing_anchors(questions: DataFrame, contexts: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(qid, detector, anchor): what questions name and the ``corpus`` (id, text), or for spans the contexts' pivot, doesn't have, by all four detectors."""
+    q = questions.filter(F.trim("question") != "")
+    found = [
+        missing_identifiers(q, corpus).select("qid", F.lit("identifier").alias("detector"), F.concat_ws("-", "prefix", "digits").alias("anchor")),
+        unattested_names(q, corpus).select("qid", F.lit("name_phrase"), F.col("run")),
+        orphan_spans(q, contexts, anchor_frequency(corpus)).select("qid", F.lit("orphan_span"), F.col("span")),
+        unattested_code(q, corpus).select("qid", F.lit("code_identifier"), F.col("token")),
+    ]
+    return found[0].union(found[1]).union(found[2]).union(found[3])
+
+
 def support(sentence: Column, context: Column) -> Column:
     """0.65 of the sentence's content words in the context and 0.35 of their pairs (words alone without pairs)."""
-    a = T.content_words(T.strip_markers(sentence), W.SUPPORT_STOPWORDS, 1)
-    b = T.content_words(context, W.SUPPORT_STOPWORDS, 1)
-    one = T.containment(F.array_distinct(a), b)
-    pairs = F.array_distinct(T.bigrams(a))
-    return F.when(F.size(a) == 0, 0.0).when(F.size(pairs) == 0, one).otherwise(0.65 * one + 0.35 * T.containment(pairs, T.bigrams(b)))
+    content = lambda x: T.content_words(x, W.SUPPORT_STOPWORDS, 1)
+
+    def mixed(s: Column) -> Column:
+        one = T.containment(s["a"], s["b"])
+        both = lambda p: F.when(F.size(p) == 0, one).otherwise(0.65 * one + 0.35 * T.containment(p, T.bigrams(s["b"])))
+        return F.when(F.size(s["a"]) == 0, 0.0).otherwise(T.let(F.array_distinct(T.bigrams(s["a"])), both))
+
+    return T.let(F.struct(content(T.strip_markers(sentence)).alias("a"), content(context).alias("b")), mixed)
 
 
-def groundedness(answers: DataFrame, contexts: DataFrame) -> DataFrame:
-    """Per answer (aid, answer) the share of its sentences with content that one of its contexts (aid, context) supports: aid, total, supported, score."""
+def groundedness(answers: DataFrame, contexts: DataFrame, cited: bool = False) -> DataFrame:
+    """Per answer (aid, answer) the share of its sentences with content that one of its contexts (aid, context) supports: aid, total, supported, uncited, score.
+
+    With ``cited`` contexts have a ``marker``, and a sentence with markers of some is held against those alone; sentences
+    without are ``uncited`` and held against all. An answer that is the plain refusal scores 1.
+    """
     s = answers.select("aid", F.posexplode(T.sentences(F.col("answer"))).alias("n", "s")).filter(F.size(T.content_words(T.strip_markers(F.col("s")), W.SUPPORT_STOPWORDS, 1)) > 0)
-    best = s.join(contexts, "aid", "left").groupBy("aid", "n").agg(F.max(F.coalesce(support(F.col("s"), F.col("context")), F.lit(0.0))).alias("best"))
-    counts = best.groupBy("aid").agg(F.count("*").alias("total"), F.sum((F.col("best") >= SUPPORTED).cast("int")).cast("long").alias("supported"))
-    every = answers.select("aid").join(counts, "aid", "left").na.fill(0)
-    return every.withColumn("score", F.round(T.ratio(F.col("supported"), F.col("total")), 4))
+    marked = F.array_contains(T.markers(F.col("s")), F.col("marker")) if cited else F.lit(False)
+    pairs = s.join(contexts, "aid", "left").withColumn("own", F.coalesce(marked, F.lit(False)))
+    pairs = T.once(pairs, support=F.coalesce(support(F.col("s"), F.col("context")), F.lit(0.0)))
+    best = pairs.groupBy("aid", "n").agg(F.max(F.when(F.col("own"), F.col("support"))).alias("mine"), F.max("support").alias("any"))
+    good = (F.coalesce("mine", "any") >= SUPPORTED).cast("int")
+    counts = best.groupBy("aid").agg(F.count("*").alias("total"), F.sum(good).cast("long").alias("supported"), F.count(F.when(F.col("mine").isNull(), 1)).alias("uncited"))
+    every = answers.select("aid", "answer").join(counts, "aid", "left").na.fill(0, ["total", "supported", "uncited"])
+    refused = F.lower(T.squeeze(F.col("answer"))) == F.lower(F.lit(REFUSAL))
+    return every.select("aid", "total", "supported", "uncited", F.when(refused, 1.0).otherwise(F.round(T.ratio(F.col("supported"), F.col("total")), 4)).alias("score"))
 
 
 def best_quote(df: DataFrame, text: str, focus: str, limit: int = 240, out: str = "quote") -> DataFrame:
@@ -179,7 +232,7 @@ def answer_sentences(passages: DataFrame) -> DataFrame:
     df = p.select("qid", F.explode(F.array_intersect("__terms", "__v")).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("df"))
     weigh = terms.join(df, ["qid", "term"], "left").join(count, "qid").withColumn("w", F.when(F.col("df").isNull(), 0.5 * F.log(1 + F.col("n_passages"))).otherwise(F.log(1 + F.col("n_passages") / (1 + F.col("df")))))
     total = weigh.groupBy("qid").agg(F.sum("w").alias("total"))
-    s = passages.select("qid", "rank", F.posexplode(T.sentences(F.col("text"))).alias("n", "sentence")).filter(~F.col("sentence").rlike(r"^\s*(?:#{1,6}\s|\{\s*#[\w-]+\s*\}|```|\|?\s*[:-]{3,}\s*\||<[^>]+>\s*$)"))
+    s = passages.select("qid", "rank", F.posexplode(T.sentences(F.col("text"))).alias("n", "sentence")).filter(~F.col("sentence").rlike(W.NOTHING_STATED))
     s = s.withColumn("stems", F.array_distinct(T.stems(F.col("sentence")))).filter(F.size("stems") > 0)
     got = s.select("qid", "rank", "n", F.explode("stems").alias("term")).join(weigh.select("qid", "term", "w"), ["qid", "term"]).groupBy("qid", "rank", "n").agg(F.sum("w").alias("w"))
     return s.join(got, ["qid", "rank", "n"], "left").join(total, "qid").select("qid", "rank", "n", "sentence", F.round(F.coalesce("w", F.lit(0.0)) / F.col("total"), 6).alias("score"))

@@ -29,22 +29,27 @@ def question_terms(questions: DataFrame) -> DataFrame:
 
 
 def bm25_scores(questions: DataFrame, corpus: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(qid, id, score) of every document with a term of the question.
+    """(qid, id, score) of every document of ``corpus`` (id, text) with a term of the question.
 
     Corpus statistics are one row; of the postings only those of asked terms are made, with their document's length
-    beside them, so nothing but (id, len, term, tf) of matches is shuffled.
+    beside them, so nothing but (id, len, term, tf) of matches is shuffled. An ``Index`` has them already.
     """
     tokens = corpus.select("id", T.tokenize(F.col("text")).alias("t"))
-    stats = tokens.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean")).select("n", F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0).alias("mean"))
+    stats = tokens.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean"))
     terms = question_terms(questions)
     asked = terms.select("term").distinct()
     hits = tokens.select("id", F.size("t").alias("len"), F.explode("t").alias("term")).join(asked, "term", "left_semi").groupBy("term", "id", "len").agg(F.count("*").alias("tf"))
+    return weighed(terms, hits, stats, k1, b)
+
+
+def weighed(terms: DataFrame, hits: DataFrame, stats: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """BM25 (qid, id, score) from questions' ``terms`` (qid, term), all postings of those (term, id, len, tf) and one row of ``stats`` (n, mean)."""
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    tf, n, d = F.col("tf"), F.col("n"), F.col("df")
+    tf, n, d, mean = F.col("tf"), F.col("n"), F.col("df"), F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0)
     idf = F.log(1 + (n - d + 0.5) / (d + 0.5))
-    part = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    weighed = hits.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "id", part.alias("part"))
-    return terms.join(weighed, "term").groupBy("qid", "id").agg(F.round(F.sum("part"), 6).alias("score"))
+    part = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / mean))
+    parts = hits.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "id", part.alias("part"))
+    return terms.join(parts, "term").groupBy("qid", "id").agg(F.round(F.sum("part"), 6).alias("score"))
 
 
 def top(hits: DataFrame, k: int, *ties: str) -> DataFrame:
@@ -65,22 +70,3 @@ def upsert(old: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
 
 def delete(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return rows.join(gone, key, "left_anti")
-
-
-class Index:
-    """Postings and lengths as Parquet tables under a path, with the settings they were made with."""
-
-    def __init__(self, spark, path: str):
-        self.spark, self.path = spark, path
-
-    def save(self, corpus: DataFrame, embedder: str = "hashing", dim: int = 1024) -> None:
-        postings(corpus).write.mode("overwrite").parquet(f"{self.path}/postings")
-        lengths(corpus).write.mode("overwrite").parquet(f"{self.path}/lengths")
-        self.spark.createDataFrame([(embedder, dim)], "embedder string, dim int").write.mode("overwrite").parquet(f"{self.path}/settings")
-
-    def load(self, embedder: str = "hashing", dim: int = 1024) -> tuple[DataFrame, DataFrame]:
-        """Postings and lengths; raises if the index was made with other settings."""
-        made = self.spark.read.parquet(f"{self.path}/settings").first()
-        if (made.embedder, made.dim) != (embedder, dim):
-            raise ValueError(f"index holds {made.embedder}/{made.dim}, not {embedder}/{dim}")
-        return self.spark.read.parquet(f"{self.path}/postings"), self.spark.read.parquet(f"{self.path}/lengths")

@@ -35,13 +35,14 @@ def proximity(terms: Column, tokens: Column, matched: Column) -> Column:
 
 def heuristic(candidates: DataFrame, k: int) -> DataFrame:
     """The best ``k`` of each question's candidates (qid, question, id, text, ordinal, score, rank): ``rerank_score`` and new ``rank``; ties keep their order."""
-    terms, tokens = query_terms(F.col("question")), T.tokenize(F.col("text"))
-    phrase = F.lower(T.squeeze(F.col("question")))
-    near = F.when((F.size("__q") >= 2) & (phrase != "") & F.contains(F.lower(T.squeeze(F.col("text"))), phrase), F.lit(1.0)).otherwise(proximity(F.col("__q"), F.col("__t"), F.col("__m")))
-    d = candidates.withColumn("__prior", min_max(F.col("score"), "qid")).withColumn("__q", terms).withColumn("__t", tokens).withColumn("__m", F.array_intersect("__q", "__t"))
+    phrase = lambda x: F.lower(T.squeeze(x))
+    d = T.once(candidates, __q=query_terms(F.col("question")), __t=T.tokenize(F.col("text")), __prior=F.col("score"))
+    d = T.once(d.withColumn("__prior", min_max(F.col("score"), "qid")), __m=F.array_intersect("__q", "__t"))
+    whole = (F.size("__q") >= 2) & (phrase(F.col("question")) != "") & F.contains(phrase(F.col("text")), phrase(F.col("question")))
+    near = F.when(whole, F.lit(1.0)).otherwise(proximity(F.col("__q"), F.col("__t"), F.col("__m")))
     place = 1 / (1 + DECAY * F.greatest(F.lit(0), F.col("ordinal")))
-    value = COVERAGE * T.containment(F.col("__q"), F.col("__t")) + PROXIMITY * near + FUSION * F.col("__prior") + POSITION * place
-    d = d.withColumn("rerank_score", F.round(value, 6)).drop("__q", "__t", "__m", "__prior")
+    value = COVERAGE * T.ratio(F.size("__m"), F.size("__q")) + PROXIMITY * near + FUSION * F.col("__prior") + POSITION * place
+    d = T.once(d, rerank_score=F.round(value, 6)).drop("__q", "__t", "__m", "__prior")
     return d.withColumn("new_rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("rerank_score"), "rank"))).filter(F.col("new_rank") <= max(0, k))
 
 

@@ -18,6 +18,12 @@ SUFFIXES = ("md", "markdown", "txt", "rst", "log", "html", "htm", "json", "csv",
 BLOCKS = "p|div|br|hr|li|ul|ol|dl|dt|dd|tr|td|th|table|thead|tbody|section|article|header|footer|nav|aside|main|form|figure|figcaption|blockquote|pre|h[1-6]"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt evenly to all cores if it has fewer partitions than twice their number, as a file of one row group has; larger inputs stay as they are and aren't shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 @F.pandas_udf(StringType())
 def nfkc(s):
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
