@@ -232,6 +232,34 @@ def word_ids(path: str) -> WordIds:
     return _loaded[path]
 
 
+def let_go() -> None:
+    """Give back what a Python worker still holds from earlier tasks: vocabularies with their caches, and free pages of Arrow and the C library.
+
+    Workers live on between the tasks of different operators, so one that doesn't encode shouldn't hold a vocabulary.
+    """
+    import ctypes
+
+    import pyarrow as pa
+
+    if _loaded:
+        _loaded.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim:
+        trim(0)
+
+
+def without_vocabularies(run):
+    """``run`` of mapInArrow, in a worker that lets go of earlier tasks' memory first."""
+
+    def around(batches):
+        let_go()
+        yield from run(batches)
+
+    return around
+
+
 def public_vocabulary(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 

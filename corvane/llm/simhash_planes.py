@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: list[str] = ("do
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(got, "int64")], [*names, "__fp"])
 
     chosen = docs.select(*(c.col(k) for k in keep), c.col("text").alias("__text"))
-    return chosen.mapInArrow(run, StructType([*(f for f in chosen.schema.fields if f.name != "__text"), StructField("__fp", LongType())]))
+    return chosen.mapInArrow(c.without_vocabularies(run), StructType([*(f for f in chosen.schema.fields if f.name != "__text"), StructField("__fp", LongType())]))
 
 
 def _lane_links(f: np.ndarray, t: np.ndarray, group: np.ndarray, radius: int = RADIUS):
@@ -170,7 +170,7 @@ def links(fps: DataFrame) -> DataFrame:
             yield from found(t, f)
 
     dealt = rows.repartition(n, "t", key).sortWithinPartitions("t", key, "f")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(c.without_vocabularies(run), "a long, b long")
 
 
 def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, keep: list[str] = ("doc_id",)) -> DataFrame:
