@@ -127,9 +127,9 @@ def pack_documents(docs: DataFrame, vocabulary: str, length: int = LENGTH, end_i
     ``end_id`` is None), null doc_ids sort first, repeated rows are packed each, very long texts run over many
     sequences. Equal keys, as of copies, are split by a hash of doc_id, so a range holds a bounded share of any group.
     """
-    n = c.partitions(docs.sparkSession)
     table = token_table(docs, vocabulary, end_id)
-    ordered = table.withColumn("__tie", F.xxhash64("doc_id")).repartitionByRange(n, "__key", "__tie").sortWithinPartitions("__key", "__tie", "doc_id", "__ids").select("doc_id", "__ids")
+    # no number of ranges, so that adaptive execution puts small neighbours together
+    ordered = table.withColumn("__tie", F.xxhash64("doc_id")).repartitionByRange("__key", "__tie").sortWithinPartitions("__key", "__tie", "doc_id", "__ids").select("doc_id", "__ids")
 
     def pack(batches):
         import pyarrow as pa
@@ -168,7 +168,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, length: int = LENGTH, end_i
         if rows:
             yield batch_of(rows)
 
-    return ordered.mapInArrow(pack, PIECES + (", ids array<int>" if with_ids else ""))
+    return ordered.mapInArrow(c.without_vocabularies(pack), PIECES + (", ids array<int>" if with_ids else ""))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

@@ -125,9 +125,9 @@ def _merged(distinct: DataFrame, similar: float, depth: int) -> DataFrame:
                 block.append((leaf, line, masked))
         yield from done(block)
 
-    n = c.partitions(distinct.sparkSession)
     sizes = distinct.groupBy("leaf").agg(F.count("*").alias("lines")).filter("lines > 1").select("leaf")
-    return distinct.join(sizes, "leaf").repartition(n, "leaf").sortWithinPartitions("leaf", F.desc("n"), "masked").select("leaf", "line", "masked").mapInArrow(c.without_vocabularies(run), "leaf long, line long, template long")
+    # no number of partitions, so that adaptive execution puts small ones together
+    return distinct.join(sizes, "leaf").repartition("leaf").sortWithinPartitions("leaf", F.desc("n"), "masked").select("leaf", "line", "masked").mapInArrow(c.without_vocabularies(run), "leaf long, line long, template long")
 
 
 def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, similar: float = SIMILAR) -> DataFrame:

@@ -114,8 +114,8 @@ def _by_bucket(rows: DataFrame, names: list[str], found, schema: str) -> DataFra
         if size:
             yield from map(batch_of, found(*(np.concatenate(x) for x in zip(*held))))
 
-    n = c.partitions(rows.sparkSession)
-    return rows.select(*names).repartition(n, "h").sortWithinPartitions("h", "n", "node").mapInArrow(c.without_vocabularies(run), schema)
+    # no number of partitions, so that adaptive execution puts small ones together: a staged file each costs more than their rows
+    return rows.select(*names).repartition("h").sortWithinPartitions("h", "n", "node").mapInArrow(c.without_vocabularies(run), schema)
 
 
 def _shared(h, node, n, i):
