@@ -12,10 +12,14 @@ from ..functions import text as T
 
 BESIDE = 32 << 20  # characters of passages that are broadcast
 
-def ranking_metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
-    """Per question of ``ranked`` (qid, id, rank): recall, precision, hit rate and nDCG at ``k``, MRR and average precision against ``relevant`` (qid, id)."""
+
+def ranking_metrics(ranked: DataFrame, relevant: DataFrame, k: int, total: DataFrame | None = None) -> DataFrame:
+    """Per question of ``ranked`` (qid, id, rank): recall, precision, hit rate and nDCG at ``k``, MRR and average precision against ``relevant`` (qid, id).
+
+    With ``total`` (qid, n_rel), which says how many are relevant, ``relevant`` needs no others than those that are ranked.
+    """
     rel = relevant.select("qid", "id").distinct()
-    total = rel.groupBy("qid").agg(F.count("*").alias("n_rel"))
+    total = rel.groupBy("qid").agg(F.count("*").alias("n_rel")) if total is None else total.select("qid", "n_rel")
     first = ranked.groupBy("qid", "id").agg(F.min("rank").alias("r"))
     placed = first.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("r"))).join(rel.withColumn("hit", F.lit(1)), ["qid", "id"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
     placed = placed.withColumn("hits", F.sum("hit").over(Window.partitionBy("qid").orderBy("r")))
