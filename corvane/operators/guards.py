@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import words as W
+from ..storage import staged
+from .lexical import isin
 
 MIN_SCORE, MIN_COVERAGE, SUPPORTED, MIN_GROUNDED = 0.10, 0.70, 0.42, 0.60
 # Fixed value: the plain refusal.
@@ -23,6 +27,9 @@ CODE = (
     r"\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]*){1,4}\b|\b[A-Z]{2,}[a-z][A-Za-z0-9]*\b",
 )
 DOTTED = r"\b[A-Za-z][A-Za-z0-9]{1,}(?:\.[A-Za-z][A-Za-z0-9]{1,}){1,3}\b"
+FEW = 200  # asked names that texts are searched for one by one
+# What a text with a name in code has somewhere.
+CODE_SIGN = r"[`@_]|--|[a-z0-9][A-Z]|[A-Z]{2}[a-z]|[A-Za-z0-9]\.[A-Za-z]"
 # Words that negate.
 NEGATIONS = "no not never none neither nor without cannot cant doesn isn aren don wasn werent hasn havent".split()
 # Words that name an attribute.
@@ -93,9 +100,15 @@ def identifiers(corpus: DataFrame) -> DataFrame:
 
 
 def missing_identifiers(questions: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(qid, prefix, digits) that questions name and the corpus doesn't."""
-    glued = occurrences(questions, "question", IDENTIFIER, "qid")
-    spaced = occurrences(questions, "question", SPACED, "qid").join(families(corpus), "prefix", "left_semi")
+    """(qid, prefix, digits) that questions name and the corpus doesn't. Questions are a stated set; only texts with a prefix that they name are searched in full."""
+    glued, spaced = (occurrences(questions, "question", p, "qid").drop("left") for p in (IDENTIFIER, SPACED))
+    named = {r.prefix for r in glued.union(spaced).select("prefix").distinct().collect()}
+    if not named:
+        return glued.select("qid", "prefix", "digits")
+    forms = sorted(named | {long for long, short in W.PREFIXES.items() if short in named})
+    sign = rf"(?i)\b(?:{'|'.join(forms)})[- ]?[0-9]" if len(forms) <= FEW else r"[A-Za-z][- ]?[0-9]"
+    corpus = staged(corpus.select("id", "text").filter(F.col("text").rlike(sign)), "identified")
+    spaced = spaced.join(families(corpus), "prefix", "left_semi")
     return glued.unionByName(spaced).select("qid", "prefix", "digits").distinct().join(identifiers(corpus), ["prefix", "digits"], "left_anti")
 
 
@@ -110,8 +123,14 @@ def code_tokens(text: Column, dotted: bool = False) -> Column:
 def unattested_code(questions: DataFrame, corpus: DataFrame) -> DataFrame:
     """(qid, token) of names in questions that are part of no name in the corpus; nothing if that has none. Questions are a stated set."""
     asked = questions.select("qid", F.explode(code_tokens(F.col("question"))).alias("token"))
-    attested = corpus.select(F.explode(code_tokens(F.col("text"), True)).alias("attested")).distinct()
-    some = attested.limit(1).select(F.lit(1).alias("one"))
+    tokens = sorted({r.token for r in asked.select("token").collect()})
+    if not tokens:
+        return asked
+    names = lambda d: d.filter(F.col("text").rlike(CODE_SIGN)).select(F.explode(code_tokens(F.col("text"), True)).alias("attested"))
+    some = names(corpus).limit(1).select(F.lit(1).alias("one"))
+    if len(tokens) <= FEW and "".join(tokens).isascii():  # what a name has, its text has
+        corpus = corpus.filter(F.lower("text").rlike("|".join(re.escape(t) for t in tokens)))
+    attested = names(corpus).distinct()
     return asked.join(attested, F.contains(F.col("attested"), F.col("token")), "left_anti").join(F.broadcast(some), F.lit(True), "left_semi")
 
 
@@ -131,16 +150,44 @@ def case_informative(question: Column) -> Column:
     return (F.size(rest) > 0) & ~F.forall(rest, lambda w: w.rlike("^[A-Z]")) & ~F.exists(rest, lambda w: w.rlike("^[A-Z]") & F.array_contains(T.array(W.STOPWORDS), F.lower(w)))
 
 
+def words_of(spark, stems) -> list[str]:
+    """All words that have one of the ``stems``: suffix rules turned round, and what comes out held against ``text.stem``."""
+    whole = {w for s in stems for w in (s, s + "e")}
+    tried = whole | {w[: len(w) - len(new)] + suffix for w in whole for suffix, new in W.SUFFIXES if w.endswith(new)}
+    if not tried:
+        return []
+    d = spark.createDataFrame([(w,) for w in sorted(tried)], "w string").select("w", T.stem(F.col("w")).alias("s"))
+    return [r.w for r in d.collect() if r.s in stems]
+
+
 def unattested_names(questions: DataFrame, corpus: DataFrame) -> DataFrame:
     """(qid, run) of capitalised runs none of whose neighbouring stems are neighbours in the corpus."""
     runs = questions.filter(case_informative(F.col("question"))).select("qid", F.posexplode(capitalised_runs(F.col("question"))).alias("n", "r"))
     pairs = runs.select("qid", "n", F.array_join("r", " ").alias("run"), F.explode(T.bigrams(F.transform("r", T.stem))).alias("pair"))
-    known = corpus.select(F.explode(T.bigrams(T.stems(F.col("text")))).alias("pair")).join(pairs.select("pair").distinct(), "pair", "left_semi").distinct()
+    words = words_of(pairs.sparkSession, {s for r in pairs.select("pair").distinct().collect() for s in r.pair.split(" ")})
+    if not words:
+        return runs.select("qid", F.array_join("r", " ").alias("run")).limit(0)
+    tokens = T.once(corpus, t=T.tokenize(F.col("text")))
+    beside = F.expr(f"filter(transform(t, (x, i) -> if({isin('x', words)} and {isin('get(t, i + 1)', words)}, struct(x as a, get(t, i + 1) as b), null)), x -> x is not null)")
+    found = tokens.select(F.explode(F.array_distinct(beside)).alias("p")).distinct()
+    known = found.select(F.concat_ws(" ", T.stem(F.col("p.a")), T.stem(F.col("p.b"))).alias("pair")).join(pairs.select("pair").distinct(), "pair", "left_semi").distinct()
     return pairs.join(known.withColumn("hit", F.lit(1)), "pair", "left").groupBy("qid", "n", "run").agg(F.max("hit").alias("hit")).filter("hit is null").select("qid", "run")
 
 
-def anchor_frequency(corpus: DataFrame) -> DataFrame:
-    """(stem, df): in how many chunks of ``corpus`` (id, text) a stem or part of a token is."""
+def anchors_of(questions: DataFrame) -> DataFrame:
+    """(qid, n, stem): stems of a question's content in turn."""
+    tokens = F.filter(T.content_words(F.col("question")), lambda w: ~w.isin(list(W.SCAFFOLD)))
+    return questions.select("qid", F.posexplode(F.transform(tokens, T.stem)).alias("n", "stem"))
+
+
+def anchor_frequency(corpus: DataFrame, questions: DataFrame | None = None) -> DataFrame:
+    """(stem, df): in how many chunks of ``corpus`` (id, text) a stem or part of a token is; with ``questions``, of their anchors only, and only words that have those are stemmed."""
+    if questions is not None:
+        words = words_of(corpus.sparkSession, {r.stem for r in anchors_of(questions).select("stem").distinct().collect()})
+        tokens = T.once(corpus, t=T.tokenize(F.col("text")))
+        parts = "filter(flatten(transform(filter(t, x -> contains(x, '_')), x -> split(x, '_'))), p -> length(p) > 2)"
+        found = tokens.select(F.expr(f"array_distinct(filter(concat(t, {parts}), x -> {isin('x', words)}))").alias("w"))
+        return found.select(F.explode(F.array_distinct(F.transform("w", T.stem))).alias("stem")).groupBy("stem").agg(F.count("*").alias("df"))
     return corpus.select(F.explode(vocabulary(F.col("text"))).alias("stem")).groupBy("stem").agg(F.count("*").alias("df"))
 
 
@@ -150,8 +197,7 @@ def orphan_spans(questions: DataFrame, contexts: DataFrame, frequency: DataFrame
     The pivot is the context (qid, rank, text) whose vocabulary has most of the anchors, rare ones counting more, the
     first of equals. ``frequency`` is (stem, df) of the corpus.
     """
-    tokens = F.filter(T.content_words(F.col("question")), lambda w: ~w.isin(list(W.SCAFFOLD)))
-    anchors = questions.select("qid", F.posexplode(F.transform(tokens, T.stem)).alias("n", "stem")).join(frequency, "stem", "left").na.fill(0, ["df"])
+    anchors = anchors_of(questions).join(frequency, "stem", "left").na.fill(0, ["df"])
     vocab = contexts.select("qid", "rank", F.explode(vocabulary(F.col("text"))).alias("stem"))
     held = anchors.join(vocab, ["qid", "stem"])
     weight = contexts.select("qid", "rank").join(held.groupBy("qid", "rank").agg(F.sum(1 / (1 + F.col("df"))).alias("w")), ["qid", "rank"], "left")
@@ -171,7 +217,7 @@ def missing_anchors(questions: DataFrame, contexts: DataFrame, corpus: DataFrame
     found = [
         missing_identifiers(q, corpus).select("qid", F.lit("identifier").alias("detector"), F.concat_ws("-", "prefix", "digits").alias("anchor")),
         unattested_names(q, corpus).select("qid", F.lit("name_phrase"), F.col("run")),
-        orphan_spans(q, contexts, anchor_frequency(corpus)).select("qid", F.lit("orphan_span"), F.col("span")),
+        orphan_spans(q, contexts, anchor_frequency(corpus, q)).select("qid", F.lit("orphan_span"), F.col("span")),
         unattested_code(q, corpus).select("qid", F.lit("code_identifier"), F.col("token")),
     ]
     return found[0].union(found[1]).union(found[2]).union(found[3])

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane import catalog
-from corvane.operators import evaluation, lexical
+from corvane.operators import evaluation, guards, lexical
 
 
 def shuffled_rows(df) -> int:
@@ -104,3 +104,22 @@ def test_money_slot_has_the_words_ends_of_its_sql(spark, tmp_path):
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     assert got == dict(con.sql(catalog.ORACLE["money_slot"]).fetchall()) and got[0] is False
+
+
+def test_questions_that_name_nothing_read_no_corpus(spark):
+    q = spark.createDataFrame([(1, "what does it cost to be here")], "qid int, question string")
+    unread = spark.range(3).select("id", F.raise_error(F.lit("read")).cast("string").alias("text"))
+    for find in (guards.missing_identifiers, guards.unattested_code, guards.unattested_names):
+        assert find(q, unread).collect() == []
+
+
+def test_anchors_of_a_corpus_stem_asked_words_only(spark):
+    texts = ["Charging prices, the price priced pricing_tables. Pricer's cities; city ities.", "annual_charges and Annual Reports", "reporting annually an", "", None]
+    corpus = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    q = spark.createDataFrame([(1, "annual pricing cities"), (2, "table reports charges, cooked")], "qid int, question string")
+    asked = {r.stem for r in guards.anchors_of(q).collect()}
+    every = {r.stem: r.df for r in guards.anchor_frequency(corpus).collect()}
+    some = {r.stem: r.df for r in guards.anchor_frequency(corpus, q).collect()}
+    assert some == {s: n for s, n in every.items() if s in asked} and len(some) >= 4
+    names = spark.createDataFrame([(1, "see the Annual Reports here"), (2, "see the Annual Prices here")], "qid int, question string")
+    assert [r.qid for r in guards.unattested_names(names, corpus).collect()] == [2]
