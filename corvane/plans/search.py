@@ -72,10 +72,11 @@ def answers(questions: DataFrame, contexts: DataFrame, corpus: DataFrame, strict
     fit ``budget`` tokens, its markers resolved and numbered anew, and is checked sentence by sentence against what it
     cites; a price that isn't stated, and with ``strict`` an answer that isn't grounded, are refused after all.
     """
+    contexts = staged(contexts, "contexts")  # read in eight places
     named = contexts.withColumnRenamed("qid", "aid")
     pooled = contexts.groupBy("qid").agg(F.array_join(F.collect_list("text"), "\n").alias("pooled"), F.count("*").alias("n"), F.max_by("score", -F.col("rank")).alias("top"), F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("rank", "title"))), lambda x: x["title"])).alias("titles"))
     missed = staged(guards.missing_anchors(questions, contexts, corpus), "anchors").groupBy("qid").agg(F.sort_array(F.collect_set("anchor")).alias("anchors"))
-    indexed = corpus.limit(1).agg(F.count("*").alias("indexed"))
+    indexed = corpus.select(F.lit(1)).limit(1).agg(F.count("*").alias("indexed"))
     d = questions.join(pooled, "qid", "left").join(missed, "qid", "left").crossJoin(F.broadcast(indexed))
     none = F.array().cast("array<string>")
     d = d.withColumns({"anchors": F.coalesce("anchors", none), "titles": F.coalesce("titles", none), "n": F.coalesce("n", F.lit(0))})
