@@ -1,5 +1,6 @@
 """Steps whose cost or memory once grew faster than their input."""
 
+import hashlib
 import math
 import random
 import re
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane import catalog
-from corvane.operators import evaluation, guards, lexical
+from corvane.operators import embedding, evaluation, fusion, guards, lexical
 
 
 def shuffled_rows(df) -> int:
@@ -123,3 +124,42 @@ def test_anchors_of_a_corpus_stem_asked_words_only(spark):
     assert some == {s: n for s, n in every.items() if s in asked} and len(some) >= 4
     names = spark.createDataFrame([(1, "see the Annual Reports here"), (2, "see the Annual Prices here")], "qid int, question string")
     assert [r.qid for r in guards.unattested_names(names, corpus).collect()] == [2]
+
+
+def test_pairs_of_a_label_meet_in_cells(spark):
+    import numpy as np
+
+    dice = np.random.default_rng(1)
+    base = dice.normal(size=(40, 8))
+    rows = [(int(i), int(i % 3) if i % 17 else None, (base[i % 40] + dice.normal(size=8) * 0.2).tolist()) for i in range(300)] + [(900, 1, [0.0] * 8), (901, 1, None), (902, 1, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "id long, label int, vector array<double>")
+    got = {(r.a, r.b): r.cosine for r in fusion.alike(df, 0.9, together=20).collect()}
+    want = {}
+    for i, x, v in rows:
+        for j, y, w in rows:
+            if i < j and x == y and x is not None and v and w and len(v) == len(w):
+                c = round(float(np.dot(v, w) / max(1e-12, np.linalg.norm(v) * np.linalg.norm(w))), 4)
+                if c >= 0.9:
+                    want[i, j] = c
+    assert got == want and len(want) > 50
+    assert "CartesianProduct" not in (plan := fusion.alike(df, 0.9)._jdf.queryExecution().executedPlan().toString()) and "FlatMapGroupsInArrow" in plan
+
+
+def test_vectors_of_texts(spark):
+    texts = ["", " ", "a", "The cat's  cat", "café ﬁ café", "\U0001d49c\U0001d4b7 e" * 3, "".join(map(chr, range(0x100, 0xD000))) + "".join(map(chr, range(0x10000, 0x1F000)))]
+    held = embedding.Buckets(64)
+    for _ in range(2):
+        got = held.embed(texts)
+        for t, v in zip(texts, got):
+            want = [0.0] * 64
+            for kind, found in embedding.features(t).items():
+                for x, n in found.items():
+                    h = int.from_bytes(hashlib.blake2b(f"{kind}\x1f{x}".encode(), digest_size=8).digest(), "big")
+                    want[h % 64] += (1 if h >> 63 else -1) * embedding.PRIORS[kind] * min(1, (len(x) + 1) / 8) * (1 + math.log(n))
+            norm = math.sqrt(sum(x * x for x in want)) or 1.0
+            assert max(abs(a / norm - b) for a, b in zip(want, v)) < 1e-6
+    held = embedding.Buckets(64)  # what is held is bounded
+    held.WORDS, held.bigram.MOST = 50, 60
+    held.CHARS = 200
+    again = held.embed([f"w{i} x{i} y{i % 7}" * 3 for i in range(400)])
+    assert (again == embedding.Buckets(64).embed([f"w{i} x{i} y{i % 7}" * 3 for i in range(400)])).all() and len(held.names) < 200
