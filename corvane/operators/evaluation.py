@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import BooleanType, IntegerType, LongType, StructField, StructType
 
 from ..functions import text as T
+from ..storage import staged
+from . import lexical
 
-BESIDE = 32 << 20  # characters of passages that are broadcast
 
 
 def ranking_metrics(ranked: DataFrame, relevant: DataFrame, k: int, total: DataFrame | None = None) -> DataFrame:
@@ -117,32 +119,36 @@ def refusal_rates(rows: DataFrame) -> DataFrame:
 def relevant_chunks(passages: DataFrame, chunks: DataFrame, share: float = 0.6) -> DataFrame:
     """(pid, id): chunks (id, text) that hold a passage (pid, text) or lie in it, in canonical form; for a passage with none, those that share enough of the tokens of either.
 
-    A text that lies in another has its tokens but the first and the last whole, so pairs come from a join on one of
-    those: a passage's rarest, or a chunk's second (chunks longer than all passages are left out first). Texts of one
-    or two tokens have none; only they are compared with all. Shared tokens are counted by a join on tokens.
+    Passages are a stated set, which the driver holds. Each chunk's task counts the different tokens that it shares with
+    each passage, and sends on only pairs that are relevant by one rule or the other. A text that lies in another has its
+    tokens but the first and the last whole, so only pairs that share all but two of one's tokens are searched.
     """
-
-    def canonical(d: DataFrame, key: str) -> DataFrame:
-        rows = T.once(d, t=T.tokenize(T.squeeze(F.col("text")))).filter(F.size("t") > 0)
-        return T.once(rows.select(key, "t"), c=F.array_join("t", " "), s=F.array_distinct("t"), inner=F.array_distinct(F.slice("t", F.lit(2), F.greatest(F.size("t") - 2, F.lit(0)))))
-
-    p, c = canonical(passages, "pid"), canonical(chunks, "id")
-    sizes = p.agg(F.coalesce(F.sum(F.length("c")), F.lit(0)).alias("all"), F.max(F.length("c")).alias("longest"), F.count(F.when(F.size("t") <= 2, 1)).alias("tiny")).first()
-    beside = F.broadcast if sizes["all"] <= BESIDE else lambda d: d  # a few passages go to all tasks; more are joined as Spark sees fit
-    asked = p.select("pid", F.explode("inner").alias("term"))
-    df = c.select(F.explode("s").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    rarest = asked.join(df, "term").groupBy("pid").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
-    near = c.select("id", F.explode("s").alias("term")).join(rarest, "term").select("pid", "id")
-    held = c.select("id", F.col("c").alias("h"), F.size("t").alias("n"), F.get("t", F.lit(1)).alias("second"))
-    inside = near.join(p.select("pid", "c"), "pid").join(held, "id").filter(F.contains("h", "c")).select("pid", "id")
-    short = held.filter(F.length("h") <= F.lit(sizes["longest"] or 0))
-    around = short.filter("n > 2").join(p.select("pid", "c", F.explode("s").alias("second")), "second").filter(F.contains("c", "h")).select("pid", "id")
-    whole = inside.union(around).union(short.filter("n <= 2").join(beside(p.select("pid", "c")), F.contains("c", "h")).select("pid", "id"))
-    if sizes["tiny"]:
-        whole = whole.union(held.join(beside(p.filter(F.size("t") <= 2).select("pid", "c")), F.contains("h", "c")).select("pid", "id"))
-    whole = whole.distinct()
-    rest = p.join(whole, "pid", "left_anti")
-    width = lambda d, key, n: d.select(key, F.size("s").alias(n))
-    shared = rest.select("pid", F.explode("s").alias("term")).join(c.select("id", F.explode("s").alias("term")), "term").groupBy("pid", "id").agg(F.count("*").alias("n"))
-    some = shared.join(width(rest, "pid", "a"), "pid").join(width(c, "id", "b"), "id").filter(F.col("n") >= share * F.least("a", "b")).select("pid", "id")
-    return whole.union(some)
+    squeezed = lambda d, key: T.once(d.select(key, "text"), t=T.tokenize(T.squeeze(F.col("text")))).filter(F.size("t") > 0).select(key, F.array_join("t", " ").alias("c"), F.array_distinct("t").alias("s"))
+    passed = squeezed(passages, "pid").collect()
+    asked, held = lexical.Asked([list(r.s) for r in passed]), [r.c for r in passed]
+    sizes, count = np.array([len(r.s) for r in passed], "i8"), len(passed)
+    rows = squeezed(chunks, "id").select("id", "c", F.size("s").alias("b"), F.expr(f"filter(s, x -> {lexical.isin('x', asked.terms)})").alias("terms"))
+
+    def run(batches):
+        for batch in batches:
+            step = max(1, asked.CELLS // max(1, count))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                codes, row = asked._codes(part.column("terms"))
+                which, p = asked._spread(codes)
+                n = np.bincount(row[which] * count + p, minlength=part.num_rows * count).reshape(part.num_rows, count)
+                b = part.column("b").to_numpy()[:, None].astype("i8")
+                near = (n >= share * np.minimum(b, sizes)) & (n > 0)
+                texts, whole = part.column("c"), np.zeros(n.shape, bool)
+                for i in np.flatnonzero(((n >= sizes - 2) | (n >= b - 2)).any(axis=1)):
+                    h = texts[i].as_py()
+                    for k in np.flatnonzero((n[i] >= sizes - 2) | (n[i] >= b[i] - 2)):
+                        whole[i, k] = held[k] in h or h in held[k]
+                i, k = np.nonzero(near | whole)
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(i)), pa.array(k), pa.array(whole[i, k])], ["id", "n", "whole"])
+
+    found = staged(rows.mapInArrow(run, StructType([chunks.schema["id"], StructField("n", LongType()), StructField("whole", BooleanType())])), "relevant")
+    names = passages.sparkSession.createDataFrame([(k, r.pid) for k, r in enumerate(passed)], StructType([StructField("n", LongType()), passages.schema["pid"]]))
+    pairs = found.join(F.broadcast(names), "n").select("pid", "id", "whole")
+    whole = pairs.filter("whole").select("pid", "id").distinct()
+    return whole.union(pairs.join(F.broadcast(whole.select("pid").distinct()), "pid", "left_anti").select("pid", "id"))

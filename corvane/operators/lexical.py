@@ -75,7 +75,36 @@ class Places:
         return self.held
 
 
-class Matches:
+class Asked:
+    """The different terms of some lists of them (of questions), and which lists have each: what tasks need to count them in texts."""
+
+    CELLS = 1 << 17  # pairs of text and list that are counted at a time
+
+    def __init__(self, lists: list[list[str]]):
+        self.terms = sorted({t for ts in lists for t in ts})
+        code = {t: k for k, t in enumerate(self.terms)}
+        pairs = np.array([(code[t], q) for q, ts in enumerate(lists) for t in ts], "i8").reshape(-1, 2)
+        pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+        self.start, self.asking = np.searchsorted(pairs[:, 0], np.arange(len(self.terms) + 1)), pairs[:, 1]
+
+    def _codes(self, found):
+        """Code and row of each term of a batch's lists of terms."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        codes = pc.index_in(found.flatten(), pa.array(self.terms, found.type.value_type)).to_numpy(zero_copy_only=False)
+        n = np.nan_to_num(pc.list_value_length(found).to_numpy(zero_copy_only=False)).astype("i8")
+        return codes.astype("i8"), np.repeat(np.arange(len(n)), n)
+
+    def _spread(self, codes: np.ndarray):
+        """For each question of each code in turn: which code, and which question."""
+        n = self.start[codes + 1] - self.start[codes]
+        which = np.repeat(np.arange(len(codes)), n)
+        within = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+        return which, self.asking[self.start[codes][which] + within]
+
+
+class Matches(Asked):
     """The asked terms of each document of a corpus (id, text), made once and staged, and what questions (qid, question) get from them.
 
     Questions are a stated set, whose terms the driver holds. A document's scores for all questions are made in the task
@@ -84,18 +113,13 @@ class Matches:
     score is the sum over its rows.
     """
 
-    CELLS = 1 << 17  # scores that are made at a time
-
     def __init__(self, questions: DataFrame, corpus: DataFrame):
         self.qid, self.id = questions.schema["qid"].dataType, corpus.schema["id"].dataType
         asked: dict = {}
         for r in questions.select("qid", F.array_distinct(T.tokenize(F.col("question"))).alias("t")).collect():
             asked.setdefault(r.qid, []).extend(r.t)
-        self.qids, self.terms = list(asked), sorted({t for ts in asked.values() for t in ts})
-        code = {t: k for k, t in enumerate(self.terms)}
-        pairs = np.array([(code[t], q) for q, ts in enumerate(asked.values()) for t in ts], "i8").reshape(-1, 2)
-        pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-        self.start, self.asking = np.searchsorted(pairs[:, 0], np.arange(len(self.terms) + 1)), pairs[:, 1]
+        self.qids = list(asked)
+        super().__init__(list(asked.values()))
         tokens = T.once(corpus, t=T.tokenize(F.col("text")))
         self.packed = staged(tokens.select("id", F.size("t").alias("len"), F.expr(f"filter(t, x -> {isin('x', self.terms)})").alias("terms")), "matches")
         again = self.packed.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1 or id is null").select(F.col("id").alias("again_id"), F.lit(True).alias("again"))
@@ -111,22 +135,6 @@ class Matches:
         df = self.single.select(F.explode(F.array_distinct("terms")).alias("term"))
         return (df if self.hits is None else df.unionByName(self.hits.select("term"))).groupBy("term").agg(F.count("*").alias("df"))
 
-    def _codes(self, found):
-        """Code and row of each term of a batch's lists of terms."""
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
-        codes = pc.index_in(found.flatten(), pa.array(self.terms, found.type.value_type)).to_numpy(zero_copy_only=False)
-        n = np.nan_to_num(pc.list_value_length(found).to_numpy(zero_copy_only=False)).astype("i8")
-        return codes.astype("i8"), np.repeat(np.arange(len(n)), n)
-
-    def _spread(self, codes: np.ndarray):
-        """For each question of each code in turn: which code, and which question."""
-        n = self.start[codes + 1] - self.start[codes]
-        which = np.repeat(np.arange(len(codes)), n)
-        within = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-        return which, self.asking[self.start[codes][which] + within]
-
     def best(self, k: int, latest: int = 0, k1: float = K1, b: float = B) -> DataFrame:
         """(qid, id, score) that holds the best ``k`` of each question by score, then id, and the ``latest`` matches with the largest ids, among others."""
         known = {r.term: r.df for r in self.frequency().collect()}

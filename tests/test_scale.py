@@ -163,3 +163,17 @@ def test_vectors_of_texts(spark):
     held.CHARS = 200
     again = held.embed([f"w{i} x{i} y{i % 7}" * 3 for i in range(400)])
     assert (again == embedding.Buckets(64).embed([f"w{i} x{i} y{i % 7}" * 3 for i in range(400)])).all() and len(held.names) < 200
+
+
+def test_relevant_chunks_by_every_pair(spark):
+    dice = random.Random(5)
+    text = lambda n: " ".join(dice.choices("ab cd ef gh ij kl mn op".split(), k=n))
+    passages = [(k, text(dice.randint(1, 6))) for k in range(25)] + [(90, "zz"), (91, "b c"), (92, "")]
+    chunks = [(k, text(dice.randint(0, 9))) for k in range(120)] + [(200, "xab cdx"), (201, "b"), (202, None), (203, "ab  c\xadd\nef"), (203, "kl")]
+    df = evaluation.relevant_chunks(spark.createDataFrame(passages, "pid int, text string"), spark.createDataFrame(chunks, "id int, text string"))
+    tok = lambda t: re.findall(r"[a-z0-9_]+(?:'[a-z]+)?", (t or "").replace("\xad", "").lower())
+    pairs = [(p, c, tok(x), tok(y)) for p, x in passages for c, y in chunks if tok(x) and tok(y)]
+    whole = {(p, c) for p, c, x, y in pairs if " ".join(x) in " ".join(y) or " ".join(y) in " ".join(x)}
+    some = {(p, c) for p, c, x, y in pairs if p not in {q for q, _ in whole} and len(set(x) & set(y)) >= 0.6 * min(len(set(x)), len(set(y)))}
+    assert {(r.pid, r.id) for r in df.collect()} == whole | some and whole and len({p for p, _ in whole}) < 27
+    assert shuffled_rows(df) <= 4 * (len(whole) + len(some))  # every pair with a shared token before
