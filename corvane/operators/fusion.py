@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StructField, StructType
 
 from ..functions import text as T
-from . import lexical
+from . import embedding, lexical
 
 RRF_K, HALF = 60, 4.0
 NUMBERS, TOGETHER = 1 << 20, 4096  # numbers of a block of vectors; vectors of a cell's side
@@ -45,14 +45,32 @@ def _blocks(rows: DataFrame, ids: list[str], size: int) -> DataFrame:
     return chosen.mapInArrow(run, StructType([*kinds, StructField("m", BinaryType()), StructField("dim", IntegerType())]))
 
 
-def cosine(questions: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
+def text_blocks(chunks: DataFrame, dim: int) -> DataFrame:
+    """The blocks of the hashed vectors of ``chunks`` (id, seq, text), made in one step: vectors don't go through rows."""
+    kinds = [StructField(x, ArrayType(chunks.schema[x].dataType)) for x in ("id", "seq")]
+
+    def run(batches):
+        for batch in batches:
+            step = max(1, NUMBERS // dim)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                m = embedding.embedded([x or "" for x in part.column("text").to_pylist()], dim).astype("f8")
+                m /= np.maximum(np.sqrt((m * m).sum(axis=1)), 1e-12)[:, None]
+                arrays = [pa.array([part.column(x).to_pylist()], pa.list_(part.schema.field(x).type)) for x in ("id", "seq")]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array([m.tobytes()], pa.binary()), pa.array([dim], "int32")], ["id", "seq", "m", "dim"])
+
+    return chunks.select("id", "seq", "text").mapInArrow(run, StructType([*kinds, StructField("m", BinaryType()), StructField("dim", IntegerType())]))
+
+
+def cosine(questions: DataFrame, vectors: DataFrame, k: int = 10, blocks: DataFrame | None = None) -> DataFrame:
     """The ``k`` rows of ``vectors`` (id, seq, vector) nearest to each question (qid, vector), by exact cosine, ties by ``seq``: qid, id, seq, score, rank.
 
     Questions are a stated set: blocks of them meet blocks of rows as matrix products, of which each question's best
-    ``k`` are left. Vectors of another dimension raise. Zero vectors have cosine 0 with all.
+    ``k`` are left. Vectors of another dimension raise. Zero vectors have cosine 0 with all. ``blocks``, if they are made already, take the place of ``vectors``.
     """
     asked = _blocks(questions, ["qid"], 512).withColumnsRenamed({"m": "q", "dim": "qdim"})
-    pairs = _blocks(vectors.select("id", "seq", "vector"), ["id", "seq"], NUMBERS).crossJoin(asked)
+    blocks = _blocks(vectors.select("id", "seq", "vector"), ["id", "seq"], NUMBERS) if blocks is None else blocks
+    pairs = blocks.crossJoin(asked)
 
     def best(batches):
         import pyarrow as pa
@@ -80,7 +98,7 @@ def cosine(questions: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
                 take = lambda name, i: one[name].values.take(pa.array(i))
                 yield pa.RecordBatch.from_arrays([take("qid", of), take("id", at), take("seq", at), pa.array(near)], ["qid", "id", "seq", "score"])
 
-    fields = [StructField("qid", questions.schema["qid"].dataType), *(vectors.schema[x] for x in ("id", "seq")), StructField("score", DoubleType())]
+    fields = [StructField("qid", questions.schema["qid"].dataType), *(StructField(x, blocks.schema[x].dataType.elementType) for x in ("id", "seq")), StructField("score", DoubleType())]
     return lexical.top(pairs.mapInArrow(best, StructType(fields)), k, "seq")
 
 

@@ -22,12 +22,12 @@ def _diversified(best: DataFrame, vectors: DataFrame, k: int, balance: float) ->
     return best.drop("rank").join(picked, ["qid", "id"]).withColumnRenamed("new_rank", "rank")
 
 
-def _found(q: DataFrame, chunks: DataFrame, vectors: DataFrame, found, mode: str, k: int, pool: int, reranked: bool, dim: int, weights: tuple[float, float], balance: float) -> DataFrame:
+def _found(q: DataFrame, chunks: DataFrame, vectors: DataFrame, found, mode: str, k: int, pool: int, reranked: bool, dim: int, weights: tuple[float, float], balance: float, blocks: DataFrame | None = None) -> DataFrame:
     if mode not in MODES:
         raise ValueError(f"unknown mode: {mode}")
     pool, hits = max(k, pool), []
     if mode != "lexical":
-        dense = fusion.cosine(embedding.with_embedding(q, "question", dim), vectors, pool)
+        dense = fusion.cosine(embedding.with_embedding(q, "question", dim), vectors, pool, blocks)
         hits.append(dense.select("qid", F.lit("dense").alias("list"), F.lit(weights[0]).alias("weight"), "id", "rank", "score", F.col("seq").alias("tie")))
     if mode != "dense":
         hits.append(found(q, pool).select("qid", F.lit("lexical").alias("list"), F.lit(weights[1]).alias("weight"), "id", "rank", "score", F.lit(0).cast("long").alias("tie")))
@@ -40,7 +40,8 @@ def _found(q: DataFrame, chunks: DataFrame, vectors: DataFrame, found, mode: str
     best = lexical.top(scaled, pool, "tie", "id") if mode == "dense" else lexical.top(scaled, pool, "id")
     best = best.drop("tie")
     if reranked:
-        full = best.join(chunks.select("id", "text", "ordinal"), "id").join(q, "qid")
+        best = staged(best, "best")  # few rows: the chunks' texts aren't shuffled to meet them
+        full = chunks.select("id", "text", "ordinal").join(F.broadcast(best), "id").join(F.broadcast(q), "qid")
         best = rerank.heuristic(full, k).select("qid", "id", F.col("rerank_score").alias("score"), "dense_score", "lexical_score", "rerank_score", F.col("new_rank").alias("rank"))
     else:
         best = best.withColumn("rerank_score", F.lit(None).cast("double"))
@@ -56,7 +57,7 @@ def search(questions: DataFrame, chunks: DataFrame, mode: str = "hybrid", k: int
     """
     q = questions.filter(F.trim("question") != "")
     vectors = embedding.with_embedding(chunks.select("id", "seq", "text"), "text", dim).drop("text")
-    return _found(q, chunks, vectors, lambda q, n: lexical.bm25(q, chunks.select("id", "text"), n), mode, k, pool, reranked, dim, weights, balance)
+    return _found(q, chunks, vectors, lambda q, n: lexical.bm25(q, chunks.select("id", "text"), n), mode, k, pool, reranked, dim, weights, balance, fusion.text_blocks(chunks, dim))
 
 
 def indexed_search(questions: DataFrame, index: Index, mode: str = "hybrid", k: int = 5, pool: int = 24, reranked: bool = True, weights: tuple[float, float] = (0.5, 0.5), balance: float = BALANCE) -> DataFrame:

@@ -177,3 +177,11 @@ def test_relevant_chunks_by_every_pair(spark):
     some = {(p, c) for p, c, x, y in pairs if p not in {q for q, _ in whole} and len(set(x) & set(y)) >= 0.6 * min(len(set(x)), len(set(y)))}
     assert {(r.pid, r.id) for r in df.collect()} == whole | some and whole and len({p for p, _ in whole}) < 27
     assert shuffled_rows(df) <= 4 * (len(whole) + len(some))  # every pair with a shared token before
+
+
+def test_vectors_of_texts_in_blocks(spark):
+    chunks = spark.createDataFrame([(i, i, f"word{i % 5} and word{i % 7}" if i else None) for i in range(40)], "id long, seq long, text string")
+    asked = embedding.with_embedding(spark.createDataFrame([(1, "word3"), (2, "and word5")], "qid int, question string"), "question", 32)
+    by_rows = fusion.cosine(asked, embedding.with_embedding(chunks, "text", 32), 5)
+    by_blocks = fusion.cosine(asked, None, 5, fusion.text_blocks(chunks, 32))
+    assert sorted(map(tuple, by_blocks.collect())) == sorted(map(tuple, by_rows.collect()))
